@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def changed(s: Column, **fields: Column) -> Column:
     return F.struct(*[fields.get(n, s[n]).alias(n) for n in FIELDS])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rule_spans(text: Column, rules: list[Rule], layer: str = "pattern", confidence: float = 1.0, first: int = 0, prefix: str = "") -> Column:
     """All matches of each rule, in rule order, as an array of spans.
 
@@ -30,15 +37,14 @@ def rule_spans(text: Column, rules: list[Rule], layer: str = "pattern", confiden
     """
     if not rules:
         return F.expr(NONE)
-    has_digit = text.rlike(r"\p{Nd}")
     empty = F.expr("cast(array() as array<string>)")
 
-    def matches(r: Rule) -> Column:
+    def matches(r: Rule, has_digit: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(r.java), F.lit(0))
         return F.when(has_digit, found).otherwise(empty) if r.needs_digit else found
 
     law = F.array(*[F.struct(F.lit(r.java).alias("regex"), F.lit(r.grouped).alias("grouped"), F.lit(prefix + r.name.removeprefix("custom:")).alias("rule"), F.lit(r.type).alias("type"), F.lit(r.level).alias("level")) for r in rules])
-    hits = F.filter(F.array(*[F.struct(F.lit(i).alias("k"), matches(r).alias("m")) for i, r in enumerate(rules)]), lambda h: F.size(h["m"]) > 0)
+    hits = let(text.rlike(r"\p{Nd}"), lambda d: F.filter(F.array(*[F.struct(F.lit(i).alias("k"), matches(r, d).alias("m")) for i, r in enumerate(rules)]), lambda h: F.size(h["m"]) > 0))
 
     def of_rule(h: Column) -> Column:
         r = F.element_at(law, h["k"] + 1)

@@ -12,7 +12,7 @@ from ..config import Config
 from ..functions import domain, normalcy, normalise, scoring
 from ..functions.names import Gazetteer, name_spans
 from ..functions.rules import Rule, active
-from ..functions.spans import NONE, resolved, rule_spans
+from ..functions.spans import NONE, let, resolved, rule_spans
 
 #: Orders of the layers after the rules, for ties.
 PARSERS, KNOWN, NAMES, NER, SECOND, REVIEW = 1000, 1500, 2000, 2500, 3000, 5000
@@ -60,10 +60,13 @@ def spans_frame(df: DataFrame, text: str = "text", config: Config | None = None,
         found = F.filter(review(t, F.when(gate, F.col("__o"))), lambda s: s["confidence"] >= 0.3)
         df = df.withColumn("__s", F.concat("__s", F.coalesce(found, F.expr(NONE)))).drop("__r", "__o")
     if config.second_pass:
-        df = df.withColumn("__n", normalise.normalised(t))
-        again = [base_spans(F.col("__n"), config)] + ([domain.parsed(F.col("__n"), PARSERS)] if config.domain_parsers else [])
-        second = normalise.shifted(normalise.mapped_back(t, F.col("__n"), normalise.unseen(F.concat(*again) if len(again) > 1 else again[0], F.col("__s"))), SECOND)
-        df = df.withColumn("__s", F.when(F.col("__n") != t, F.concat(F.col("__s"), second)).otherwise(F.col("__s"))).drop("__n")
+
+        def second(plain: Column) -> Column:
+            again = [base_spans(plain, config)] + ([domain.parsed(plain, PARSERS)] if config.domain_parsers else [])
+            new = normalise.unseen(F.concat(*again) if len(again) > 1 else again[0], F.col("__s"))
+            return F.when(plain != t, normalise.shifted(normalise.mapped_back(t, plain, new), SECOND)).otherwise(F.expr(NONE))
+
+        df = df.withColumn("__s", F.concat(F.col("__s"), let(normalise.normalised(t), second)))
     if config.min_confidence > 0:
         df = df.withColumn("__s", F.filter("__s", lambda s: s["confidence"] >= config.min_confidence))
     return df.withColumn(out, resolved(F.col("__s"))).drop("__s")
