@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from os.path import exists
 
 import numpy as np
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size
-from .prefix_bpe import CACHED, splitter
+from .prefix_bpe import splitter
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("first", "last", "most")
+#: Pieces a worker remembers before it starts anew, about 250 bytes each.
+CACHED = 900_000
 
 
 class PieceTokenizer:
@@ -48,17 +51,13 @@ class PieceTokenizer:
             self.known.clear()
         known = self.known
         new = list({p for ps in pieces for p in ps if p not in known})
-        long = {}
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(p) < 64 else long)[p] = tuple(e.ids)
-        out = []
-        for ps in pieces:
-            ids: list[int] = []
-            for p in ps:
-                ids += known.get(p) or long[p]
-            out.append(ids)
+            known.update(zip(part, (tuple(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        out = [list(chain.from_iterable(map(known.__getitem__, ps))) for ps in pieces]
+        for p in new:
+            if len(p) >= 64:
+                del known[p]
         return out
 
 
