@@ -22,7 +22,7 @@ from .common import by_size
 from .trees import sampled_labels
 
 #: Labelled rows that the machine is fitted on, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 BUCKETS, FACTORS = 1 << 18, 4
 TERM = re.compile(r"\w+")
 
@@ -132,7 +132,10 @@ def train(df: DataFrame, labels: DataFrame, where: Column | None = None, sample:
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
     got = rows.mapInArrow(hashed, "doc_id long, terms array<int>, y int").orderBy("doc_id", F.xxhash64("terms")).limit(2 * sample).toArrow()
-    return fit([t.astype("int64") if len(t) else t for t in _lists(got.column("terms"))], np.array(got.column("y").to_pylist(), "float64"))
+    machine = fit(_lists(got.column("terms")), np.array(got.column("y").to_pylist(), "float64"))
+    del got
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
