@@ -101,7 +101,7 @@ def test_normalisation(spark):
 
 
 def test_names_and_review():
-    assert [(a, b) for a, b, _ in find("Met Anna Virtanen and J. Smith")] == [(4, 17), (22, 30)]
+    assert [(a, b) for a, b, _ in find("met Anna Virtanen and J. Smith")] == [(4, 17), (22, 30)]
     assert find("The the and of") == []
     text, regions = review.marked("call Bob Ray now", [(6, 8)])
     assert text == "call >>>Bob<<< Ray now" and regions == [(5, 8)]
