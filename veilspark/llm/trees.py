@@ -67,9 +67,8 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     digits = len(data) - len(data.translate(None, b"0123456789"))
     marks = len(data) - len(data.translate(None, b"@[]{}^~_=+/\\`"))
     m, c = max(1, n), max(1, word_chars)
-    head = words[:: max(1, n // 2000)]
     return [n, word_chars, n_symbols, n_dup, repeats], [
-        float(np.log1p(n)), word_chars / m, n_symbols / m, n_dup / max(1, len(lines)), repeats / m, upper / c, digits / c, data.count(b"!") / m, len(set(head)) / max(1, len(head)),
+        float(np.log1p(n)), word_chars / m, n_symbols / m, n_dup / max(1, len(lines)), repeats / m, upper / c, digits / c, data.count(b"!") / m, len(set(words)) / m,
         m / max(1, len(lines)), sum(x.lstrip(SPACES)[:1] in (b"-", b"*") for x in lines) / max(1, len(lines)), marks / c,
     ]
 
