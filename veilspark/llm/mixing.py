@@ -22,10 +22,17 @@ from .common import saved, words_of
 
 #: The largest number of sources: the driver holds a few numbers for each.
 MAX_SOURCES = 1_000_000
+#: Tables of one row for each source are sent to all executors up to so many sources, about 100 bytes each; beyond, they are shuffled.
+SENT_SOURCES = 100_000
 #: Rows of a source that are rounded together.
 GROUP_ROWS = 1000
 
 
+def _by_source(rows: DataFrame, law: DataFrame, sources: int, on: str | F.Column = "source_no") -> DataFrame:
+    """Joins a table of one row for each source. Few sources are broadcast, so a large one isn't gathered in a task."""
+    return rows.join(F.broadcast(law) if sources <= SENT_SOURCES else law, on)
+
+
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
     """Shares of ``total`` by weight, none above ``cap`` times its size; what is cut goes to the others by weight."""
     targets = [0.0] * len(sizes)
@@ -60,7 +67,7 @@ def solve_dual(hist: DataFrame, stats: list[tuple[int, int, int]], targets: list
         tilt = base * F.exp(F.least(F.col("x") * z, F.lit(700.0)))
         rate = F.least(F.lit(cap), tilt)
         rows = (
-            hist.join(at, "source_no")
+            _by_source(hist, at, len(live))
             .groupBy("source_no")
             .agg(F.sum(F.col("n") * F.col("size") * rate).alias("g"), F.sum(F.when(tilt < cap, F.col("n") * F.col("size") * z * rate)).alias("h"))
             .collect()
@@ -117,7 +124,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     stats = [(i, r["n"], r["words"]) for i, r in enumerate(per)]
     targets = water_fill([w for _, _, w in stats], [float(next(weight)) for _ in stats], share * sum(w for _, _, w in stats), cap)
     names = spark.createDataFrame([(r["source"], i, r["n"]) for i, r in enumerate(per)], "s string, source_no int, n_source long")
-    numbered = rows.join(names, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    numbered = _by_source(rows, names, len(stats), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     hist = saved(numbered.groupBy("source_no", "size").agg(F.count(F.lit(1)).alias("n")).where("size > 0"))
     base = float(min(share, cap))
     multipliers = solve_dual(hist, stats, targets, base, cap)
@@ -126,7 +133,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     )
     rate = F.when(F.col("size") == 0, F.lit(float(base))).when(F.col("x").isNull(), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), base * F.exp(F.least(F.col("x") * F.col("size") / F.col("mean"), F.lit(700.0)))))
     planned = (
-        numbered.join(law, "source_no")
+        _by_source(numbered, law, len(stats))
         .withColumn("rate", rate)
         .withColumn("plan", F.round(F.col("rate") * F.greatest("size", F.lit(1)), 4))
         .withColumn("most", F.lit(cap))
