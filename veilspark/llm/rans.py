@@ -139,20 +139,25 @@ def crc_of_both(first: int, second: int, length: int) -> int:
 
 
 def tokenised(df: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(part, seq, at, doc_id, n, ids): the texts' ids with the end id, in the order of doc_id (null first): by part, then seq. ``at`` counts the part's ids before."""
+    """(part, seq, at, doc_id, n, ids): the texts' ids with the end id, in the order of doc_id (null first): by part, then seq. ``at`` counts the part's ids before. A last row of each part, of seq -1, has as ``ids`` how often each id occurs in it."""
     spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     dealt = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "crc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc").drop("crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq, at = tokenizer(path), TaskContext.get().partitionId(), 0, 0
+        end, names = np.array([end_id], own.kind).tobytes(), ["part", "seq", "at", "doc_id", "n", "ids"]
+        total = np.zeros(max(own.size, end_id + 1), "int64")
         for b in by_size(batches, 1):
-            ids = [np.array([*i, end_id], "<u4") for i in own.encode(b.column(1).to_pylist())]
-            sizes = np.array([len(i) for i in ids])
+            ids = [data + end for data in own.packed(b.column(1).to_pylist())]
+            sizes = np.array([len(i) for i in ids]) // len(end)
             ends = np.cumsum(sizes)
-            columns = [pa.array(np.full(len(ids), part, "int32")), pa.array(np.arange(seq, seq + len(ids))), pa.array(at + ends - sizes), b.column(0), pa.array(sizes), pa.array([i.astype("<u2").tobytes() if own.size <= 1 << 16 else i.tobytes() for i in ids], pa.binary())]
+            total += np.bincount(np.frombuffer(b"".join(ids), own.kind), minlength=len(total))
+            columns = [pa.array(np.full(len(ids), part, "int32")), pa.array(np.arange(seq, seq + len(ids))), pa.array(at + ends - sizes), b.column(0), pa.array(sizes), pa.array(ids, pa.binary())]
             seq, at = seq + len(ids), at + int(ends[-1])
-            yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "at", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(columns, names)
+        if seq:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1]), pa.array([at]), pa.array([None], pa.int64()), pa.array([0]), pa.array([total.tobytes()], pa.binary())], names)
 
     return dealt.mapInArrow(run, "part int, seq long, at long, doc_id long, n long, ids binary")
 
@@ -162,19 +167,16 @@ def _ids(data: bytes, n: int) -> np.ndarray:
 
 
 def counted(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs, over all rows; as many numbers as the vocabulary has come to the driver."""
+    """How often each id occurs, from the counts of each part; as many numbers as the vocabulary has come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, "int64")
-        for b in by_size(batches, 1):
-            for n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = np.bincount(_ids(data, n), minlength=len(total))
-                c[: len(total)] += total
-                total = c
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-    got = tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                total = np.frombuffer(data, "int64")
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+
+    got = tokens.where("seq < 0").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, "int64")
     out[got["id"].to_numpy("int64")] = got["n"].to_numpy("int64")
     return out
@@ -211,7 +213,7 @@ def blocked(tokens: DataFrame, counts: np.ndarray, block: int = BLOCK) -> DataFr
             yield out()
 
     kind = "struct<doc_id: bigint, part: int, seq: bigint, at: bigint, piece: int, last: boolean, n: bigint>"
-    return tokens.select("part", "seq", "at", "doc_id", "n", "ids").mapInArrow(run, f"pieces array<{kind}>, n long, crc32 long, data binary")
+    return tokens.where("seq >= 0").select("part", "seq", "at", "doc_id", "n", "ids").mapInArrow(run, f"pieces array<{kind}>, n long, crc32 long, data binary")
 
 
 def read_back(blocks: DataFrame, counts: np.ndarray) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from os.path import exists
 
 import numpy as np
@@ -40,21 +40,26 @@ class PieceTokenizer:
         if not isinstance(self.library.pre_tokenizer, ByteLevel) or self.library.normalizer is not None:
             raise ValueError("a byte-level tokenizer without a normalizer is asked for")
         self.split = splitter(PATTERN)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.size = self.library.get_vocab_size()
+        self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         # The library shows each byte as one character, so a token has as many bytes as characters.
         self.lengths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.size)])
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.frombuffer(data, self.kind) for data in self.packed(texts)]
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian integers of 2 bytes, of 4 under a larger vocabulary."""
         pieces = [self.split(t or "") for t in texts]
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
-        new = list({p for ps in pieces for p in ps if p not in known})
+        new = list(set().union(*pieces).difference(known))
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
-            known.update(zip(part, (tuple(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        out = [list(chain.from_iterable(map(known.__getitem__, ps))) for ps in pieces]
+            known.update(zip(part, (array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
         for p in new:
             if len(p) >= 64:
                 del known[p]
@@ -113,7 +118,7 @@ def section_counts(df: DataFrame, path: str, rule: str = "most") -> DataFrame:
             for text, ids in zip(texts, own.encode(texts), strict=True):
                 data = (text or "").encode()
                 starts, ends = line_sections(data)
-                at = attributed(np.cumsum(own.lengths[ids]) if ids else np.zeros(0, "int64"), starts, ends, rule)
+                at = attributed(np.cumsum(own.lengths[ids]), starts, ends, rule)
                 counts = np.bincount(at + 1, minlength=len(starts) + 1)
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, "uint8") & 0xC0) != 0x80)])
                 first = 0 if counts[0] else 1
