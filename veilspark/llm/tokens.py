@@ -25,7 +25,8 @@ CACHED = 900_000
 class PieceTokenizer:
     """A byte-level tokenizer of the ``tokenizers`` library; it encodes each distinct piece of the splitting pattern once.
 
-    The library splits by the same pattern and never merges across pieces, so whole texts get the same ids.
+    The library splits by the same pattern and never merges across pieces, so whole texts get the same ids. A piece goes
+    to the library's model at once, with its bytes shown as the vocabulary shows them.
     """
 
     def __init__(self, path: str):
@@ -37,8 +38,12 @@ class PieceTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        if not isinstance(self.library.pre_tokenizer, ByteLevel) or self.library.normalizer is not None:
-            raise ValueError("a byte-level tokenizer without a normalizer is asked for")
+        before = self.library.pre_tokenizer
+        if not isinstance(before, ByteLevel) or before.add_prefix_space or self.library.normalizer is not None:
+            raise ValueError("a byte-level tokenizer without a normalizer or a prefix space is asked for")
+        # Fixed rule of byte-level vocabularies: printable bytes show as themselves, the others as 256 and up in order.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
         self.split = splitter(PATTERN)
         self.known: dict[str, bytes] = {}
         self.size = self.library.get_vocab_size()
@@ -56,9 +61,9 @@ class PieceTokenizer:
             self.known.clear()
         known = self.known
         new = list(set().union(*pieces).difference(known))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            known.update(zip(part, (array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        model, shown, code = self.library.model.tokenize, self.shown, self.code
+        for p in new:
+            known[p] = array(code, [token.id for token in model(p.encode().decode("latin-1").translate(shown))]).tobytes()
         out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
         for p in new:
             if len(p) >= 64:
