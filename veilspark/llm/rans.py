@@ -235,7 +235,8 @@ def read_back(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in pieces], t) for k, t in zip(names, kinds, strict=False)), pa.array(crcs, pa.int64())], names)
 
-    rows = blocks.select("pieces", "crc32", "data").mapInArrow(run, "doc_id long, part int, seq long, at long, piece int, last boolean, n long, crc long")
+    # Read twice below, so stored: blocks are decoded once.
+    rows = stored(blocks.select("pieces", "crc32", "data").mapInArrow(run, "doc_id long, part int, seq long, at long, piece int, last boolean, n long, crc long"), "pieces")
     whole = rows.where("piece = 0 and last").select("doc_id", "part", "seq", "at", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     cut = rows.where("piece > 0 or not last").groupBy("doc_id", "part", "seq", "at").agg(F.sort_array(F.collect_list(F.struct("piece", "n", "crc"))).alias("all"), F.sum("n").alias("n_tokens"))
 
