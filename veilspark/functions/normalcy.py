@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Config
-from .spans import merged
+from .spans import let, merged
 
 # Window, stride, and what speaks for harmless text, with weights.
 SIZE, STRIDE, FACTOR = 80, 40, 0.7
@@ -28,23 +28,34 @@ def window_score(chunk: Column, own: tuple[tuple[str, str, float], ...] = ()) ->
     """1 for certainly harmless, 0 for nothing known. Each further sign counts for less."""
     rules = sorted([*SAFE, *((n, "(?iU)" + r, w) for n, r, w in own)], key=lambda r: -r[2])
     score, left = F.lit(0.0), F.lit(1.0)
-    weights = F.array_compact(F.array(*[F.when(chunk.rlike(r), F.lit(w)) for _, r, w in rules]))
+    found = F.array_compact(F.array(*[F.when(chunk.rlike(r), F.lit(w)) for _, r, w in rules]))
 
     def step(acc: Column, w: Column) -> Column:
         part = w * acc["left"] * FACTOR
         return F.struct((acc["score"] + part).alias("score"), (acc["left"] - part).alias("left"))
 
-    summed = F.aggregate(weights, F.struct(score.alias("score"), left.alias("left")), step, lambda acc: F.least(acc["score"], F.lit(1.0)))
+    summed = lambda weights: F.aggregate(weights, F.struct(score.alias("score"), left.alias("left")), step, lambda acc: F.least(acc["score"], F.lit(1.0)))
     short = F.length(F.regexp_replace(chunk, r"(?U)^\s+|\s+$", "")) < 5
     bare = ~chunk.rlike(r"[\p{L}\p{N}]")
-    return F.when(~chunk.rlike(r"(?U)\S"), 1.0).when(F.size(weights) > 0, summed).when(short, 0.8).when(bare, 0.9).otherwise(0.0)
+    return F.when(~chunk.rlike(r"(?U)\S"), 1.0).otherwise(let(found, lambda weights: F.when(F.size(weights) > 0, summed(weights)).when(short, 0.8).when(bare, 0.9).otherwise(0.0)))
 
 
 def windows(text: Column, own: tuple[tuple[str, str, float], ...] = ()) -> Column:
-    """(start, end, score) of each window; none for an empty text."""
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(STRIDE))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + SIZE, n).alias("end"), window_score(F.substr(text, s + 1, F.lit(SIZE)), own).alias("score")))
+    """(start, end, score) of each window; none for an empty text.
+
+    The text is cut into strides once, and a window is two of them: a substring at each start would be read from the
+    text's beginning every time.
+    """
+
+    def of(pieces: Column) -> Column:
+        def window(piece: Column, k: Column) -> Column:
+            start = k * STRIDE
+            chunk = F.concat(piece, F.coalesce(F.get(pieces, k + 1), F.lit("")))
+            return let(chunk, lambda c: F.struct(start.alias("start"), (start + F.length(c)).alias("end"), window_score(c, own).alias("score")))
+
+        return F.transform(pieces, window)
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRIDE}}}"), F.lit(0)), of)
 
 
 def suspicious(text: Column, below: float = 0.5, own: tuple[tuple[str, str, float], ...] = ()) -> Column:

@@ -148,21 +148,21 @@ def structured_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalcy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "benchmark")
-    w = docs.select("item_id", F.explode(normalcy.windows(F.coalesce("text", F.lit("")))).alias("w"))
-    return w.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("w.score") < 0.5).alias("suspicious"), F.round(F.min("w.score"), 6).alias("least"))
+    docs = table(spark, sf_dir, "documents")
+    w = docs.select("doc_id", F.explode(normalcy.windows(F.coalesce("text", F.lit("")))).alias("w"))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("w.score") < 0.5).alias("suspicious"), F.round(F.min("w.score"), 6).alias("least"))
 
 
 def suspicious_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "benchmark")
-    return docs.select("item_id", F.explode(normalcy.suspicious(F.coalesce("text", F.lit("")))).alias("r")).select("item_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(normalcy.suspicious(F.coalesce("text", F.lit("")))).alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 
 def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spans_frame(table(spark, sf_dir, "benchmark"), config=PLAIN)
+    rows = spans_frame(table(spark, sf_dir, "documents"), config=PLAIN)
     regions = normalcy.suspicious(F.col("text"))
     rows = rows.withColumn("r", regions).withColumn("o", normalcy.uncovered(F.col("r"), F.col("spans")))
-    return rows.select("item_id", F.size("o").alias("open"), normalcy.needs_review(F.col("text"), F.col("r"), F.col("o"), F.col("spans"), PLAIN).alias("review"))
+    return rows.select("doc_id", F.size("o").alias("open"), normalcy.needs_review(F.col("text"), F.col("r"), F.col("o"), F.col("spans"), PLAIN).alias("review"))
 
 
 def homoglyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
