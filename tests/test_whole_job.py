@@ -26,3 +26,14 @@ def test_windows_are_cut_by_code_points(spark):
     for text in ("", "a" * 40, "😀" * 85 + "the end\r\n", "\n" * 45 + "x"):
         got = spark.range(1).select(normalcy.windows(F.lit(text)).alias("w")).first().w
         assert [(w.start, w.end) for w in got] == [(k, min(k + 80, len(text))) for k in range(0, len(text), 40)]
+
+
+def test_join_links_texts_without_id_or_under_one(spark):
+    from veilspark.llm import forest
+
+    base = [f"w{k}" for k in range(120)]
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(6)]
+    other = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
+    rows = [(None, near[0]), (None, near[1]), (None, other[0]), (None, other[1]), (9, near[2]), (9, near[3]), (9, near[3]), (4, near[4]), (9, "another text of some words under nine")]
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_copies) for r in forest.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(0, 4, 4, 1), (0, 4, 4, 1), (0, 0, 0, 1), (0, 0, 0, 1), (9, 4, 4, 1), (9, 4, 4, 2), (9, 4, 4, 2), (4, 4, 4, 1), (9, 9, 0, 1)])

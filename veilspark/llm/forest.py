@@ -75,20 +75,24 @@ def signature(shingled: np.ndarray, trees: int, length: int, seed: int = 1) -> n
     return out.view("int64")
 
 
+def _same(text: Column) -> Column:
+    """16 bytes that name the exact text; a null one counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
+
+
 def _signed(df: DataFrame, n: int, trees: int, length: int) -> DataFrame:
     """(doc_id, same, size, sig) for each row; ``same`` names the exact text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_size(batches, 1):
-            same, size, sig = [], [], []
+            size, sig = [], []
             for text in part.column(1).to_pylist():
                 s = shingles(text, n)
-                same.append(hashlib.blake2b((text or "").encode(), digest_size=16).digest())
                 size.append(len(s))
                 sig.append(signature(s, trees, length) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "same", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "same", "size", "sig"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, same binary, size long, sig array<long>")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _same(F.col("text")).alias("same")).mapInArrow(run, "doc_id long, same binary, size long, sig array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,17 +212,28 @@ def _overlaps(rows: np.ndarray, columns: np.ndarray, term: np.ndarray, edges: np
 def linked(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) for each row of ``df`` (doc_id, text).
 
+    Texts are told apart by their own hash, never by doc_id.
+
     A class is a connected component of links (similarity of at least ``threshold``) and exact copies; class_id is its
     least doc_id. n_links counts the *different* texts linked to this one, n_copies the rows with this very text.
     A text of fewer than ``n`` words is one shingle of them all. Texts without words, null ones too (taken as empty),
     have no shingles: they are linked to nothing, and class only with equal texts. Repeated rows are copies. A null
     doc_id is a document like any other but never names a class that has another id. Other columns are not read.
     """
+    rows, texts = _classed(df, threshold, n, recall, trees, depth, block)
+    return rows.select("doc_id", "same").join(texts.select("same", "class_id", "n_links", "n_copies"), "same").drop("same")
+
+
+def _classed(df: DataFrame, threshold: float, n: int, recall: float, trees: int, depth: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, same, ...), and (same, doc_id: the least, lead, class_id, n_links, n_copies) for each different text.
+
+    ``lead`` says whether the text stands for its class: it has the class's least doc_id, null last, then the least hash.
+    """
     spark = df.sparkSession
     length = depth_for(threshold, recall, trees, depth)
     rows = stored(_signed(df, n, trees, length), "signed")
-    texts = saved(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
-    prefixes = texts.where("id is not null and size > 0").select("id", "size", F.posexplode("sig").alias("tree", "prefix"))
+    texts = saved(rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("sig").alias("sig")).withColumn("id", F.xxhash64("same")))
+    prefixes = texts.where("size > 0").select("id", "size", F.posexplode("sig").alias("tree", "prefix"))
     leads = prefixes.groupBy("tree", "prefix").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = prefixes.join(leads, ["tree", "prefix"]).where("id <> lead").groupBy("id", "lead").agg(F.first("size").alias("size")).select(F.col("id").alias("a"), F.col("lead").alias("b"))
     groups = saved(components(stars).join(texts.select("id", "size"), "id"))
@@ -226,7 +241,7 @@ def linked(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall:
     tasks = F.greatest(F.lit(1), F.lit(4 * partitions(spark)))
     small = F.struct(F.lit(-1).cast("long").alias("task"), F.pmod(F.xxhash64("root"), tasks).cast("int").alias("a"), F.lit(-1).alias("b"))
     assigned = groups.drop("size").join(plan.drop("all"), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts_of = df.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(assigned, "id")
+    texts_of = df.select(F.xxhash64(_same(F.col("text"))).alias("id"), F.col("text").cast("string").alias("text")).dropDuplicates(["id"]).join(assigned, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_size(batches, 1):
@@ -240,16 +255,25 @@ def linked(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall:
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["b"].iloc[0] < 0:
             pdf = pdf.assign(b=pdf["a"])
-        return verdict(pdf.drop_duplicates(["comp", "id"]))
+        return verdict(pdf)
 
     checked = saved(dealt.groupBy("task", "a", "b").applyInPandas(verify, "id long, links long, parent long"))
     n_links = checked.groupBy("id").agg(F.sum("links").alias("n_links"))
     classes = components(checked.where("id <> parent").select(F.col("id").alias("a"), F.col("parent").alias("b")))
-    named = texts.select("same", "id", "n_copies").join(n_links, "id", "left").join(classes, "id", "left").select("same", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return rows.select("doc_id", "same").join(named, "same").drop("same")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    members = saved(classes.join(texts.select("id", first.alias("first")), "id"))
+    labels = members.join(members.groupBy("root").agg(F.min("first").alias("least")), "root").select("id", "least", (F.col("first.id") == F.col("least.id")).alias("lead"))
+    found = texts.join(n_links, "id", "left").join(labels, "id", "left")
+    class_id = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return rows, found.select("same", "doc_id", F.coalesce("lead", F.lit(True)).alias("lead"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
 
 
-def kept(df: DataFrame, **law) -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each class the one whose doc_id names it (once, if its row is repeated)."""
-    firsts = linked(df, **law).where("doc_id <=> class_id").select(F.col("class_id").alias("__class")).distinct()
-    return df.join(firsts, F.col("doc_id").eqNullSafe(F.col("__class")), "left_semi").dropDuplicates(["doc_id"])
+def kept(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each class one row of the text that leads it, under that text's least doc_id.
+
+    A class is left by class and exact text, so rows without doc_id, and different texts under one, don't stand for each other.
+    """
+    _, texts = _classed(df, threshold, n, recall, trees, depth, block)
+    firsts = texts.where("lead").select(F.col("same").alias("__first"), F.col("doc_id").alias("__id"))
+    chosen = df.withColumn("__same", _same(F.col("text"))).dropDuplicates(["doc_id", "__same"])
+    return chosen.join(firsts, (F.col("__same") == F.col("__first")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").drop("__same")
