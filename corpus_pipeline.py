@@ -15,22 +15,19 @@ from veilspark.runtime import ship
 #: A document is rejected from this probability of toxicity on, and below that probability of quality.
 TOXIC, QUALITY = 0.5, 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in ``ids``, a table of one row for each verdict."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+#: What a verdict carries beside the doc_id: each row is judged for itself, whatever its id.
+REST = COLUMNS[1:]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _chosen(docs, toxicity.rate(docs, machine).groupBy("doc_id").agg(F.max("score").alias("score")).where(F.col("score") < TOXIC))
+    return toxicity.rate(docs, machine, REST).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return _chosen(docs, trees.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), QUALITY).where("kept"))
+    return trees.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), QUALITY, carry=REST).where("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +54,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def carrying(schema: str, df: DataFrame, carry: tuple[str, ...]) -> StructType:
+    """A schema followed by columns of ``df``."""
+    return StructType([*StructType.fromDDL(schema), *(df.schema[c] for c in carry)])
+
+
 def by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose values in a string or binary column have about ``most`` bytes together; one row at least."""
     for batch in batches:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, carrying
 from .trees import sampled_labels
 
 #: Labelled rows that the machine is fitted on, at most.
@@ -146,10 +146,11 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-def rate(df: DataFrame, machine: Machine) -> DataFrame:
+def rate(df: DataFrame, machine: Machine, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score) for each row of ``df`` (doc_id, text); a null text counts as empty and gets the bias alone.
 
-    Repeated rows get the same score, an empty table gives none, other columns are not read.
+    Repeated rows get the same score, an empty table gives none, other columns are not read but for those in ``carry``,
+    which follow as they are.
     """
     shared = df.sparkSession.sparkContext.broadcast((machine.bias, machine.weight.astype("float32"), machine.factor.astype("float32")))
 
@@ -159,6 +160,6 @@ def rate(df: DataFrame, machine: Machine) -> DataFrame:
         live = (own.weight != 0) | own.factor.any(axis=1)
         for part in by_size(batches, 1):
             score = own.score([terms(t, cache, live=live) for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score.astype("float64"))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score.astype("float64")), *part.columns[2:]], ["doc_id", "score", *carry])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"__{c}") for c in carry)).mapInArrow(run, carrying("doc_id long, score double", df, carry))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, carrying
 
 #: Labelled rows that a model is fitted on, at most: the first ones in the order of a hash of their id.
 SAMPLE = 20_000
@@ -161,9 +161,9 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, tr
     return Trees(base, *arrays, depth)
 
 
-def measured(df: DataFrame, model: Trees | None = None, keep: float = 0.5) -> DataFrame:
-    """The statistics of each row of ``df`` (doc_id, text): (doc_id, counts, features), and with a model (score, base_failed, kept)."""
-    names = ["doc_id", *COUNTS, "features", *(["score", "base_failed", "kept"] if model else [])]
+def measured(df: DataFrame, model: Trees | None = None, keep: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The statistics of each row of ``df`` (doc_id, text): (doc_id, counts, features), and with a model (score, base_failed, kept); then the columns in ``carry``."""
+    names = ["doc_id", *COUNTS, "features", *(["score", "base_failed", "kept"] if model else []), *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_size(batches, 1):
@@ -175,10 +175,10 @@ def measured(df: DataFrame, model: Trees | None = None, keep: float = 0.5) -> Da
                 score = model.score(features)
                 failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
                 columns += [pa.array(score), pa.array(failed), pa.array(~failed & (score >= keep))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names)
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>" + ", score double, base_failed boolean, kept boolean" * bool(model)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"__{c}") for c in carry)).mapInArrow(run, carrying(schema, df, carry))
 
 
 def sampled_labels(labels: DataFrame, label: str, sample: int, where: Column | None = None) -> DataFrame:
@@ -198,11 +198,12 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return fit(x, got["y"].to_numpy("float64"), {FEATURES.index(k): v for k, v in MONOTONE.items()})
 
 
-def judge(df: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, features, score, base_failed, kept) for each row.
 
     ``base_failed``: under 20 words, or over 30 % of them in repeated 8-word windows. ``kept``: the base rules hold and
     the model gives a probability of at least ``keep``. A null text counts as empty and fails the base rules. Repeated
-    rows get the same verdict; without labels the model gives one half to all. Other columns are not read.
+    rows get the same verdict; without labels the model gives one half to all. Other columns are not
+    read but for those in ``carry``, which follow as they are.
     """
-    return measured(df, train(df, labels, sample), keep)
+    return measured(df, train(df, labels, sample), keep, carry)
