@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,19 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     for row in (lost[0], lost[2], lost[3], lost[4], clean[7]):
         assert texts.count(row[1]) == 1, row
     assert texts.count(lost[1][1]) + texts.count(bad[2][1]) == 1 and not {bad[0][1], bad[1][1], marked[-1][1], marked[-2][1]} & set(texts)
+
+
+def test_machine_learns_a_pair_without_single_signal():
+    from veilspark.llm import toxicity
+
+    random = np.random.default_rng(11)
+    y = (random.random(10_000) < 0.113).astype("float64")
+    both = (y == 1) & (random.random(len(y)) < 0.03)
+    one, two = both | (random.random(len(y)) < 0.05), both | (random.random(len(y)) < 0.05)
+    rows = [np.unique(np.concatenate([random.integers(100, 400, 6), [1] * int(a), [2] * int(b)])).astype("int64") for a, b in zip(one, two, strict=True)]
+    known = toxicity.telling(rows, y, 512, 4096, 20.0)
+    assert not {1, 2} & set(known.tolist())
+    assert {1, 2} <= set(toxicity.paired(rows, y, 512, known).tolist())
+    machine = toxicity.fit(rows, y, buckets=512)
+    alone, pair = machine.score([np.array([1]), np.array([2])]), machine.score([np.array([1, 2])])
+    assert machine.factor[1] @ machine.factor[2] > 0.05 and pair[0] > 0.5 > alone.max()

@@ -77,8 +77,55 @@ def telling(rows: list[np.ndarray], y: np.ndarray, buckets: int, most: int, leas
     return np.sort(best[chi[best] >= least])
 
 
+def paired(rows: list[np.ndarray], y: np.ndarray, buckets: int, known: np.ndarray, often: int = 20, least: float = 40.0, tile: int = 1024) -> np.ndarray:
+    """The terms that tell the label only beside another one: among the rows with some term, their chi-square is at least ``least``.
+
+    Every pair of terms in ``often`` rows or more is looked at, in tiles; terms in ``known`` are looked at as companions.
+    """
+    seen = np.bincount(np.concatenate(rows), minlength=buckets)
+    used = np.flatnonzero((seen >= often) & (seen < len(rows)))
+    place = np.full(buckets, -1)
+    place[used] = np.arange(len(used))
+    doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    at = place[np.concatenate(rows)]
+    doc, at = doc[at >= 0], at[at >= 0]
+    by = np.argsort(at, kind="stable")
+    doc, at = doc[by], at[by]
+    label = (y == 1).astype("float32")[:, None]
+    told = np.isin(used, known)
+    found = np.zeros(len(used), bool)
+
+    def part(k: int) -> np.ndarray:
+        a, b = np.searchsorted(at, [k, min(k + tile, len(used))])
+        x = np.zeros((len(rows), min(tile, len(used) - k)), "float32")
+        x[doc[a:b], at[a:b] - k] = 1
+        return x
+
+    def hits(on: np.ndarray, both: np.ndarray, n1: np.ndarray, n: np.ndarray) -> np.ndarray:
+        n1, n, off = n1[:, None], n[:, None], both - on
+        gap = np.maximum(0, np.abs(on * (n - n1 - off) - off * (n1 - on)) - n / 2)
+        return (n * gap**2 >= least * np.maximum(1, n1 * (n - n1) * both * (n - both))) & (both >= 10)
+
+    for k in range(0, len(used), tile):
+        x = part(k)
+        n, n1 = x.sum(0).astype("float64"), (x * label).sum(0).astype("float64")
+        for j in range(k, len(used), tile):
+            z = x if j == k else part(j)
+            both, on = (x.T @ z).astype("float64"), ((x * label).T @ z).astype("float64")
+            own, other = slice(k, k + x.shape[1]), slice(j, j + z.shape[1])
+            m, m1 = z.sum(0).astype("float64"), (z * label).sum(0).astype("float64")
+            hit = hits(on, both, n1, n) & ~told[None, other]
+            back = hits(on.T, both.T, m1, m) & ~told[None, own]
+            if j == k:
+                np.fill_diagonal(hit, False)
+                np.fill_diagonal(back, False)
+            found[other] |= hit.any(0) | back.any(1)
+            found[own] |= hit.any(1) | back.any(0)
+    return used[found]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.3, decay: float = 1e-3, buckets: int = BUCKETS, factors: int = FACTORS, most: int = 4096, least: float = 20.0, seed: int = 7) -> Machine:
-    """Adaptive gradient steps over shuffled batches, on the telling terms; classes weigh alike.
+    """Adaptive gradient steps over shuffled batches, on the terms that tell alone or in a pair; classes weigh alike.
 
     Without rows of both labels the score is the share of ones, smoothed.
     """
@@ -88,6 +135,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 10, batch: int = 64
     if not len(y) or y.sum() in (0, len(y)):
         return whole
     used = telling(rows, y, buckets, most, least)
+    used = np.union1d(used, paired(rows, y, buckets, used))
     place = np.full(buckets, -1)
     place[used] = np.arange(len(used))
     rows = [(p := place[r])[p >= 0] for r in rows]
