@@ -12,6 +12,11 @@ MAX_CHARS = 100_000
 STOP_REASONS = {"stop": "end_turn", "length": "max_tokens", "tool_calls": "tool_use", "content_filter": "refusal"}
 
 
+def first_failure(requests: DataFrame, status: Column) -> Column:
+    """The status that a row has if that is a failure, else this one."""
+    return F.when(F.col("status") != 200, F.col("status")).otherwise(status) if "status" in requests.columns else status
+
+
 def authorised(requests: DataFrame, principals: DataFrame, api_key: str = "x_api_key", bearer: str = "authorization") -> DataFrame:
     """``requests`` with name, rpm, daily_token_quota and status (200 or 401); the key header comes first, then the bearer token."""
     given = F.coalesce(F.nullif(F.col(api_key), F.lit("")), F.nullif(F.regexp_extract(F.col(bearer), r"(?i)^Bearer\s+(.+)$", 1), F.lit("")))
@@ -20,9 +25,9 @@ def authorised(requests: DataFrame, principals: DataFrame, api_key: str = "x_api
 
 
 def checked_size(requests: DataFrame, texts: Column, most: int = MAX_CHARS) -> DataFrame:
-    """``requests`` with chars and status 413 where the texts have over ``most`` characters together."""
+    """``requests`` with chars, and status 413 where the texts have over ``most`` characters together; an earlier failure stays."""
     chars = F.aggregate(F.transform(texts, lambda t: F.coalesce(F.length(t), F.lit(0))), F.lit(0).cast("long"), lambda a, n: a + n)
-    return requests.withColumn("chars", chars).withColumn("status", F.when(F.col("chars") > most, 413).otherwise(200))
+    return requests.withColumn("chars", chars).withColumn("status", first_failure(requests, F.when(F.col("chars") > most, 413).otherwise(200)))
 
 
 def level_status(level: Column) -> Column:
