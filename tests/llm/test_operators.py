@@ -179,13 +179,13 @@ def test_sections_add_up(odd):
 
 def test_rans_round_trip_and_checkpoints(spark, odd):
     random = np.random.default_rng(1)
-    for n in (1, 5, 511, 513, 70_000):
+    for n in (1, 5, 4095, 4097, 700_000):
         ids = (random.zipf(1.3, n) % 50_000).astype("uint32")
         table = rans.Table.of(np.bincount(ids))
         data = rans.encode(ids, table)
         assert (rans.decode(data, table) == ids).all()
         for k in range(int(np.frombuffer(data, "<u8", 5)[3])):
-            assert (rans.decode(data, table, k) == ids[(k + 1) * 128 * min(512, n) :]).all()
+            assert (rans.decode(data, table, k) == ids[(k + 1) * rans.CHECKPOINT * min(rans.LANES, n) :]).all()
     assert rans.crc_of_both(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
     from tokenizers import Tokenizer
 
@@ -202,6 +202,25 @@ def test_rans_round_trip_and_checkpoints(spark, odd):
         start += len(ids)
 
 
+def test_rans_files_hold_the_ids_in_order(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(i * 7919 % 500, f"text {i} of some words, é 漢 " * (i % 9) + ("a <|endoftext|> b" if i % 50 == 0 else "")) for i in range(500)] + [(None, "<|endoftext|>"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    blocks, counts = rans.write(df, P.path("byte_bpe_50k.json"))
+    table, found = rans.Table.of(counts), []
+    for name in sorted(blocks.inputFiles()):
+        for b in spark.read.parquet(name).collect():
+            found += rans.decode(bytes(b.data), table).tolist()
+    want = []
+    for i, text in sorted(rows, key=lambda r: (-1, zlib.crc32((r[1] or "").encode())) if r[0] is None else (r[0], 0)):
+        want += [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    assert found == want and 50256 in want
+    got = rans.digests(df, P.path("byte_bpe_50k.json")).orderBy("start").collect()
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist() and len(got) == len(rows)
+
+
 def test_warc_derivatives(spark):
     page = '<html><head><title>A &amp; B</title><style>p{}</style></head><body><script>var t="</p>";</script><p>Hi <b>you</b><br>two</p><!-- no --><a href="/x?a=1&amp;b=2">go</a></body></html>'
     pages = spark.createDataFrame([(1, "http://e.org/d/", page), (2, None, None), (2, None, None)], "page_id long, url string, html string")

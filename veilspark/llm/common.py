@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -72,3 +75,24 @@ def by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20)
             total += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without runs of the cycle collector, which would walk over all the remembered pieces again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def given_back() -> None:
+    """Returns freed memory to the system, for workers that live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

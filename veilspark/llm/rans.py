@@ -1,7 +1,7 @@
 """Token ids in a binary format: a static range asymmetric numeral system.
 
 One frequency table, counted over the whole corpus, is shared by all blocks. A block holds the ids of consecutive
-documents (a long document goes on in the next block) as interleaved streams, one state each, so that a whole row of
+documents in the order of doc_id (one too long for a block goes on in the next) as interleaved streams, one state each, so that a whole row of
 ids is coded at once. Blocks are independent of each other, and inside a block checkpoints keep the states and the
 place in the words, from which decoding can start as well. Checksums cover the ids of every block.
 """
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_size, partitions, stored
+from .common import by_size, partitions, saved, stored
 from .tokens import tokenizer
 
 SCALE = 20
-LANES, BLOCK, CHECKPOINT = 512, 1 << 18, 128
+LANES, BLOCK, CHECKPOINT = 4096, 1 << 20, 64
 LOW = np.uint64(1 << 31)
 W32 = np.uint64(32)
 
@@ -139,27 +139,26 @@ def crc_of_both(first: int, second: int, length: int) -> int:
 
 
 def tokenised(df: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(part, seq, at, doc_id, n, ids): the texts' ids with the end id, in the order of doc_id (null first): by part, then seq. ``at`` counts the part's ids before. A last row of each part, of seq -1, has as ``ids`` how often each id occurs in it."""
+    """(part, doc_id, n, ids): the texts' ids with the end id, in the order of doc_id (null first) by partition, whose number is ``part``.
+
+    The last row of a partition that has any, with n = -1, holds as ``ids`` how often each id occurs in it.
+    """
     spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     dealt = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "crc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc").drop("crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seq, at = tokenizer(path), TaskContext.get().partitionId(), 0, 0
-        end, names = np.array([end_id], own.kind).tobytes(), ["part", "seq", "at", "doc_id", "n", "ids"]
-        total = np.zeros(max(own.size, end_id + 1), "int64")
+        own, part, names = tokenizer(path), TaskContext.get().partitionId(), ["part", "doc_id", "n", "ids"]
+        end, total, any_ = np.array([end_id], own.kind).tobytes(), np.zeros(max(own.size, end_id + 1), "int64"), False
         for b in by_size(batches, 1):
             ids = [data + end for data in own.packed(b.column(1).to_pylist())]
-            sizes = np.array([len(i) for i in ids]) // len(end)
-            ends = np.cumsum(sizes)
             total += np.bincount(np.frombuffer(b"".join(ids), own.kind), minlength=len(total))
-            columns = [pa.array(np.full(len(ids), part, "int32")), pa.array(np.arange(seq, seq + len(ids))), pa.array(at + ends - sizes), b.column(0), pa.array(sizes), pa.array(ids, pa.binary())]
-            seq, at = seq + len(ids), at + int(ends[-1])
-            yield pa.RecordBatch.from_arrays(columns, names)
-        if seq:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1]), pa.array([at]), pa.array([None], pa.int64()), pa.array([0]), pa.array([total.tobytes()], pa.binary())], names)
+            any_ = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, "int32")), b.column(0), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())], names)
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([-1]), pa.array([total.tobytes()], pa.binary())], names)
 
-    return dealt.mapInArrow(run, "part int, seq long, at long, doc_id long, n long, ids binary")
+    return dealt.mapInArrow(run, "part int, doc_id long, n long, ids binary")
 
 
 def _ids(data: bytes, n: int) -> np.ndarray:
@@ -176,83 +175,99 @@ def counted(tokens: DataFrame) -> np.ndarray:
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    got = tokens.where("seq < 0").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.where("n < 0").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, "int64")
     out[got["id"].to_numpy("int64")] = got["n"].to_numpy("int64")
     return out
 
 
 def blocked(tokens: DataFrame, counts: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """One row for each block: the pieces of documents in it (doc_id, part, seq, at, piece, last, n), checksum and data."""
+    """One row for each block, in order: part, number in the part, ids of the part before it, its pieces of documents, checksum and data.
+
+    A document lies whole in a block unless it is longer than one; a piece is (doc_id, its document's number in the part,
+    its own in the document, whether it is the last, ids). The partitions of ``tokens`` are read as they are, one after
+    the other, so blocks never hold documents of two parts.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(counts)
-    piece = pa.struct([("doc_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("at", pa.int64()), ("piece", pa.int32()), ("last", pa.bool_()), ("n", pa.int64())])
+    piece = pa.struct([("doc_id", pa.int64()), ("seq", pa.int64()), ("piece", pa.int32()), ("last", pa.bool_()), ("n", pa.int64())])
+    names = ["part", "block", "at", "pieces", "n", "crc32", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table.of(shared.value)
         held: list[np.ndarray] = []
         pieces: list[dict] = []
-        size = 0
+        number, at, size, seq, part = 0, 0, 0, 0, 0
 
         def out() -> pa.RecordBatch:
             ids = np.concatenate(held).astype("uint32")
-            return pa.RecordBatch.from_arrays([pa.array([pieces], pa.list_(piece)), pa.array([len(ids)], pa.int64()), pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()), pa.array([encode(ids, table)], pa.binary())], ["pieces", "n", "crc32", "data"])
+            row = [pa.array([part], pa.int32()), pa.array([number]), pa.array([at]), pa.array([pieces], pa.list_(piece)), pa.array([len(ids)], pa.int64())]
+            return pa.RecordBatch.from_arrays([*row, pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()), pa.array([encode(ids, table)], pa.binary())], names)
 
-        for b in by_size(batches, 5):
-            for part, seq, at, doc, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for b in by_size(batches, 3):
+            for part, doc, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, done, k = _ids(data, n), 0, 0
+                if size and size + n > block:
+                    yield out()
+                    number, at, size, held, pieces = number + 1, at + size, 0, [], []
                 while done < n:
-                    take = min(n - done, block - size)
+                    take = min(n - done, block)
                     held.append(ids[done : done + take])
                     done, size = done + take, size + take
-                    pieces.append({"doc_id": doc, "part": part, "seq": seq, "at": at, "piece": k, "last": done == n, "n": take})
+                    pieces.append({"doc_id": doc, "seq": seq, "piece": k, "last": done == n, "n": take})
                     k += 1
-                    if size == block:
+                    if done < n:
                         yield out()
-                        held, pieces, size = [], [], 0
+                        number, at, size, held, pieces = number + 1, at + size, 0, [], []
+                seq += 1
         if size:
             yield out()
 
-    kind = "struct<doc_id: bigint, part: int, seq: bigint, at: bigint, piece: int, last: boolean, n: bigint>"
-    return tokens.where("seq >= 0").select("part", "seq", "at", "doc_id", "n", "ids").mapInArrow(run, f"pieces array<{kind}>, n long, crc32 long, data binary")
+    kind = "struct<doc_id: bigint, seq: bigint, piece: int, last: boolean, n: bigint>"
+    return tokens.where("n >= 0").mapInArrow(run, f"part int, block long, at long, pieces array<{kind}>, n long, crc32 long, data binary")
 
 
 def read_back(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, part, seq, at, n_tokens, ids_crc32) for each document in the blocks, each decoded on its own and checked."""
+    """(part, at, doc_id, n_tokens, ids_crc32) for each document in the blocks, each block decoded on its own and checked; ``at`` counts the part's ids before the document."""
     shared = blocks.sparkSession.sparkContext.broadcast(counts)
-    names = ["doc_id", "part", "seq", "at", "piece", "last", "n", "crc"]
+    kinds = {"part": pa.int32(), "seq": pa.int64(), "at": pa.int64(), "doc_id": pa.int64(), "piece": pa.int32(), "last": pa.bool_(), "n": pa.int64(), "crc": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table.of(shared.value)
         for b in batches:
-            for pieces, crc, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = decode(data, table).astype("<u4").tobytes()
+            for part, at, pieces, crc, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw, begin = decode(data, table).astype("<u4").tobytes(), 0
                 if zlib.crc32(raw) != crc:
                     raise ValueError("a block's checksum is wrong")
-                at, crcs = 0, []
+                rows = []
                 for p in pieces:
-                    crcs.append(zlib.crc32(raw[4 * at : 4 * (at + p["n"])]))
-                    at += p["n"]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in pieces], t) for k, t in zip(names, kinds, strict=False)), pa.array(crcs, pa.int64())], names)
+                    rows.append((part, p["seq"], at + begin, p["doc_id"], p["piece"], p["last"], p["n"], zlib.crc32(raw[4 * begin : 4 * (begin + p["n"])])))
+                    begin += p["n"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
-    # Read twice below, so stored: blocks are decoded once.
-    rows = stored(blocks.select("pieces", "crc32", "data").mapInArrow(run, "doc_id long, part int, seq long, at long, piece int, last boolean, n long, crc long"), "pieces")
-    whole = rows.where("piece = 0 and last").select("doc_id", "part", "seq", "at", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    cut = rows.where("piece > 0 or not last").groupBy("doc_id", "part", "seq", "at").agg(F.sort_array(F.collect_list(F.struct("piece", "n", "crc"))).alias("all"), F.sum("n").alias("n_tokens"))
-
-    @F.udf("long")
-    def joined(parts: list) -> int:
-        out = parts[0]["crc"]
-        for p in parts[1:]:
-            out = crc_of_both(out, p["crc"], 4 * p["n"])
-        return out
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            crcs = []
+            for pieces in b.column(4).to_pylist():
+                crc = pieces[0]["crc"]
+                for p in pieces[1:]:
+                    crc = crc_of_both(crc, p["crc"], 4 * p["n"])
+                crcs.append(crc)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crcs, pa.int64())], ["part", "at", "doc_id", "n_tokens", "ids_crc32"])
 
-    return whole.union(cut.select("doc_id", "part", "seq", "at", "n_tokens", joined("all").alias("ids_crc32")))
+    # Read twice below, so stored: blocks are decoded once.
+    rows = stored(blocks.select("part", "at", "pieces", "crc32", "data").mapInArrow(run, "part int, seq long, at long, doc_id long, piece int, last boolean, n long, crc long"), "pieces")
+    whole = rows.where("piece = 0 and last").select("part", "at", "doc_id", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    cut = rows.where("piece > 0 or not last").groupBy("part", "seq").agg(F.min("at").alias("at"), F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "n", "crc"))).alias("all"))
+    return whole.union(cut.drop("seq").mapInArrow(joined, "part int, at long, doc_id long, n_tokens long, ids_crc32 long"))
 
 
 def write(df: DataFrame, path: str, end_id: int = 2) -> tuple[DataFrame, np.ndarray]:
-    """Encodes every text of ``df`` (doc_id, text) and stores the blocks in the shared folder: (the blocks as read from there, id counts)."""
-    tokens = stored(tokenised(df, path, end_id), "tokens", compression="zstd")
+    """Encodes every text of ``df`` (doc_id, text) and stores the blocks in the shared folder: (the blocks as read from there, id counts).
+
+    The ids are checkpointed by partition, and every partition becomes one file: files by name, and blocks in a file, are
+    in the order of doc_id.
+    """
+    tokens = saved(tokenised(df, path, end_id))
     counts = counted(tokens)
     return stored(blocked(tokens, counts), "blocks"), counts
 
@@ -261,11 +276,11 @@ def digests(df: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored blocks.
 
     ``start`` counts the ids of all documents before it in the order of doc_id (null first; rows of one id in the order
-    of their texts' checksums). A null text counts as empty and has the end id alone. Repeated rows are documents of
-    their own, an empty table gives none; other columns are not read.
+    of their texts' checksums); it follows from the blocks' order and lengths. A null text counts as empty and has the
+    end id alone. Repeated rows are documents of their own, an empty table gives none; other columns are not read.
     """
     blocks, counts = write(df, path, end_id)
-    docs = stored(read_back(blocks, counts), "docs")
-    sums = docs.groupBy("part").agg(F.sum("n_tokens").alias("all"))
+    sums = blocks.groupBy("part").agg(F.sum("n").alias("all"))
     before = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
-    return docs.join(before, "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    # One row for each partition of the files.
+    return read_back(blocks, counts).join(F.broadcast(before), "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,7 +14,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, uncollected
 from .prefix_bpe import splitter
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -22,11 +23,29 @@ RULES = ("first", "last", "most")
 CACHED = 900_000
 
 
+class _Pieces(dict):
+    """Piece -> its ids as bytes; a piece that isn't there goes to the library's model, and stays if it is short."""
+
+    def __init__(self, library, code: str):
+        super().__init__()
+        # Fixed rule of byte-level vocabularies: printable bytes show as themselves, the others as 256 and up in order.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        self.model, self.code = library.model.tokenize, code
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array(self.code, [token.id for token in self.model(piece.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        if len(piece) < 64:
+            self[piece] = ids
+        return ids
+
+
 class PieceTokenizer:
     """A byte-level tokenizer of the ``tokenizers`` library; it encodes each distinct piece of the splitting pattern once.
 
     The library splits by the same pattern and never merges across pieces, so whole texts get the same ids. A piece goes
-    to the library's model at once, with its bytes shown as the vocabulary shows them.
+    to the library's model at once, with its bytes shown as the vocabulary shows them. A text that has the string of an
+    added token (such as ``<|endoftext|>``) goes through the library's whole pipeline, which gives that token's id.
     """
 
     def __init__(self, path: str):
@@ -37,17 +56,15 @@ class PieceTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         before = self.library.pre_tokenizer
         if not isinstance(before, ByteLevel) or before.add_prefix_space or self.library.normalizer is not None:
             raise ValueError("a byte-level tokenizer without a normalizer or a prefix space is asked for")
-        # Fixed rule of byte-level vocabularies: printable bytes show as themselves, the others as 256 and up in order.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.split = splitter(PATTERN)
-        self.known: dict[str, bytes] = {}
         self.size = self.library.get_vocab_size()
         self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
+        self.known = _Pieces(self.library, self.code)
         # The library shows each byte as one character, so a token has as many bytes as characters.
         self.lengths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.size)])
 
@@ -56,19 +73,13 @@ class PieceTokenizer:
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of 2 bytes, of 4 under a larger vocabulary."""
-        pieces = [self.split(t or "") for t in texts]
         if len(self.known) > CACHED:
             self.known.clear()
-        known = self.known
-        new = list(set().union(*pieces).difference(known))
-        model, shown, code = self.library.model.tokenize, self.shown, self.code
-        for p in new:
-            known[p] = array(code, [token.id for token in model(p.encode().decode("latin-1").translate(shown))]).tobytes()
-        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
-        for p in new:
-            if len(p) >= 64:
-                del known[p]
-        return out
+        with uncollected():
+            return [self._whole(t) if self.added(t) else b"".join(map(self.known.__getitem__, self.split(t))) for t in (t or "" for t in texts)]
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)
