@@ -24,10 +24,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, given_back, uncollected
 
-#: Pieces and pairs a worker remembers before it starts anew.
-CACHED = 400_000
+#: Pieces, and pairs of tokens, that a worker remembers before it starts anew; about 250 and 120 bytes each.
+CACHED, PAIRS = 120_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +44,7 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         self.ends = {token[i:] for token in ranks for i in range(len(token))}
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         # A token that its own merges don't lead to is in no encoding, but for a piece that is just this token.
         self.usable = {token: rank for token, rank in ranks.items() if len(token) == 1 or self._split(rank)}
@@ -65,11 +65,12 @@ class PrefixBPE:
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether BPE over the bytes of the two tokens gives just these two: no merge across the border comes early enough."""
-        known = self.apart.get((left, right))
+        pair = left << 32 | right
+        known = self.apart.get(pair)
         if known is None:
-            if len(self.apart) > 4 * CACHED:
+            if len(self.apart) > PAIRS:
                 self.apart.clear()
-            known = self.apart[left, right] = self._undo(left, right)
+            known = self.apart[pair] = self._undo(left, right)
         return known
 
     def _undo(self, left: int, right: int) -> bool:
@@ -101,7 +102,7 @@ class PrefixBPE:
                 elif start == 0:
                     break
                 else:  # one token only fits, so the search ends there
-                    fits = known((last[start - 1], rank))
+                    fits = known(last[start - 1] << 32 | rank)
                     if fits or (fits is None and apart(last[start - 1], rank)):
                         break
                 start -= 1
@@ -234,19 +235,21 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, with_ids: boo
         known, bytes_of = bpe.pieces, bpe.bytes_of
         decimal = {rank: str(rank) for rank in bytes_of}
         for part in by_size(batches, 1):
-            pieces = [split(text or "") for text in part.column(1).to_pylist()]
-            new = {p for ps in pieces for p in ps if p not in known}
-            extra = dict(zip(order := sorted(new), bpe.learn(order), strict=True))
             rows = []
-            for ps in pieces:
-                ids: list[int] = []
-                for p in ps:
-                    ids += known.get(p) or extra.get(p) or bpe.piece(p)
-                joined = " ".join(map(decimal.__getitem__, ids)).encode()
-                rows.append((len(ids), ids if with_ids else None, hashlib.sha256(joined).hexdigest(), hashlib.sha256(b"".join(map(bytes_of.__getitem__, ids))).hexdigest()))
+            with uncollected():
+                pieces = [split(text or "") for text in part.column(1).to_pylist()]
+                new = set().union(*pieces).difference(known)
+                extra = dict(zip(order := sorted(new), bpe.learn(order), strict=True))
+                for ps in pieces:
+                    ids: list[int] = []
+                    for p in ps:
+                        ids += known.get(p) or extra.get(p) or bpe.piece(p)
+                    joined = " ".join(map(decimal.__getitem__, ids)).encode()
+                    rows.append((len(ids), ids if with_ids else None, hashlib.sha256(joined).hexdigest(), hashlib.sha256(b"".join(map(bytes_of.__getitem__, ids))).hexdigest()))
             n, ids_, a, b = zip(*rows, strict=True)
             columns = [part.column(0), pa.array(n, pa.int64()), *([pa.array(ids_, pa.list_(pa.int32()))] if with_ids else []), pa.array(a), pa.array(b)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"])
+        given_back()
 
     kept = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(run, "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string")

@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, carrying
+from .common import by_size, carrying, given_back
 from .trees import sampled_labels
 
 #: Labelled rows that the machine is fitted on, at most.
 SAMPLE = 10_000
 BUCKETS, FACTORS = 1 << 18, 4
+#: Words that a task remembers before it starts anew, about 250 bytes each.
+CACHED = 100_000
 TERM = re.compile(r"\w+")
 
 
@@ -33,7 +35,7 @@ def terms(text: str | None, cache: dict[str, tuple[int, ...]], buckets: int = BU
     for word in set(TERM.findall((text or "").lower())):
         both = cache.get(word)
         if both is None:
-            if len(cache) > 500_000:
+            if len(cache) > CACHED:
                 cache.clear()
             both = (xxhash.xxh32_intdigest(word) % buckets, xxhash.xxh32_intdigest("^" + word[:4]) % buckets)
             both = cache[word] = both if live is None else tuple(t for t in both if live[t])
@@ -209,5 +211,7 @@ def rate(df: DataFrame, machine: Machine, carry: tuple[str, ...] = ()) -> DataFr
         for part in by_size(batches, 1):
             score = own.score([terms(t, cache, live=live) for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score.astype("float64")), *part.columns[2:]], ["doc_id", "score", *carry])
+        del cache
+        given_back()
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"__{c}") for c in carry)).mapInArrow(run, carrying("doc_id long, score double", df, carry))
