@@ -138,31 +138,43 @@ def crc_of_both(first: int, second: int, length: int) -> int:
     return first ^ second
 
 
+def packed(data: bytes) -> bytes:
+    """For ids between the two passes, not in the files."""
+    return pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(data, size, asbytes=True)
+
+
 def tokenised(df: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(part, doc_id, n, ids): the texts' ids with the end id, in the order of doc_id (null first) by partition, whose number is ``part``.
+    """(part, docs, sizes, ids): runs of texts, each text's ids with the end id, in the order of doc_id (null first) by partition, whose number is ``part``.
 
-    The last row of a partition that has any, with n = -1, holds as ``ids`` how often each id occurs in it.
+    ``ids`` are those of the run's documents end to end, compressed. The last row of a partition that has any, without
+    documents, holds there how often each id occurs in it.
     """
     spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     dealt = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "crc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc").drop("crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, names = tokenizer(path), TaskContext.get().partitionId(), ["part", "doc_id", "n", "ids"]
+        own, part = tokenizer(path), TaskContext.get().partitionId()
         end, total, any_ = np.array([end_id], own.kind).tobytes(), np.zeros(max(own.size, end_id + 1), "int64"), False
+
+        def row(docs: list, sizes: list, ids: bytes) -> pa.RecordBatch:
+            columns = [pa.array([part], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([packed(ids)], pa.binary()), pa.array([len(ids)], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "docs", "sizes", "ids", "bytes"])
+
         for b in by_size(batches, 1):
             ids = [data + end for data in own.packed(b.column(1).to_pylist())]
-            total += np.bincount(np.frombuffer(b"".join(ids), own.kind), minlength=len(total))
+            whole = b"".join(ids)
+            total += np.bincount(np.frombuffer(whole, own.kind), minlength=len(total))
             any_ = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, "int32")), b.column(0), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())], names)
+            yield row(b.column(0).to_pylist(), [len(i) // len(end) for i in ids], whole)
         if any_:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([-1]), pa.array([total.tobytes()], pa.binary())], names)
-
-    return dealt.mapInArrow(run, "part int, doc_id long, n long, ids binary")
+            yield row([], [], total.tobytes())
 
-
-def _ids(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+    return dealt.mapInArrow(run, "part int, docs array<long>, sizes array<long>, ids binary, bytes long")
 
 
 def counted(tokens: DataFrame) -> np.ndarray:
@@ -170,12 +182,12 @@ def counted(tokens: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                total = np.frombuffer(data, "int64")
+            for data, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total = np.frombuffer(unpacked(data, size), "int64")
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    got = tokens.where("n < 0").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.where("size(docs) = 0").select("ids", "bytes").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, "int64")
     out[got["id"].to_numpy("int64")] = got["n"].to_numpy("int64")
     return out
@@ -203,27 +215,27 @@ def blocked(tokens: DataFrame, counts: np.ndarray, block: int = BLOCK) -> DataFr
             row = [pa.array([part], pa.int32()), pa.array([number]), pa.array([at]), pa.array([pieces], pa.list_(piece)), pa.array([len(ids)], pa.int64())]
             return pa.RecordBatch.from_arrays([*row, pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()), pa.array([encode(ids, table)], pa.binary())], names)
 
-        for b in by_size(batches, 3):
-            for part, doc, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, done, k = _ids(data, n), 0, 0
-                if size and size + n > block:
-                    yield out()
-                    number, at, size, held, pieces = number + 1, at + size, 0, [], []
-                while done < n:
-                    take = min(n - done, block)
-                    held.append(ids[done : done + take])
-                    done, size = done + take, size + take
-                    pieces.append({"doc_id": doc, "seq": seq, "piece": k, "last": done == n, "n": take})
-                    k += 1
-                    if done < n:
+        for b in batches:
+            for part, docs, sizes, data, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                run_ids, begin = np.frombuffer(unpacked(data, raw), "<u2" if raw == 2 * sum(sizes) else "<u4"), 0
+                for doc, n in zip(docs, sizes, strict=True):
+                    if size and size + n > block:
                         yield out()
                         number, at, size, held, pieces = number + 1, at + size, 0, [], []
-                seq += 1
+                    for k, done in enumerate(range(0, n, block)):
+                        take = min(n - done, block)
+                        held.append(run_ids[begin + done : begin + done + take])
+                        size += take
+                        pieces.append({"doc_id": doc, "seq": seq, "piece": k, "last": done + take == n, "n": take})
+                        if done + take < n:
+                            yield out()
+                            number, at, size, held, pieces = number + 1, at + size, 0, [], []
+                    seq, begin = seq + 1, begin + n
         if size:
             yield out()
 
     kind = "struct<doc_id: bigint, seq: bigint, piece: int, last: boolean, n: bigint>"
-    return tokens.where("n >= 0").mapInArrow(run, f"part int, block long, at long, pieces array<{kind}>, n long, crc32 long, data binary")
+    return tokens.where("size(docs) > 0").mapInArrow(run, f"part int, block long, at long, pieces array<{kind}>, n long, crc32 long, data binary")
 
 
 def read_back(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
