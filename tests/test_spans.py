@@ -1,6 +1,7 @@
 """Rules, spans, scoring, redaction: against Python's own regexes and literal cases."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ def test_detection_keeps_no_overlaps_and_handles_nulls(spark):
     assert [s.type for s in rows[1]] == ["EMAIL", "IP", "CREDIT_CARD"] and rows[2] == [] and rows[3] == []
     assert any(s.layer == "obfuscation" and s.type == "EMAIL" for s in rows[4])
     assert preflight(df.where("doc_id = 1")) and not preflight(df.where("doc_id = 3"))
+    odd = detect(df, config=Config(level="minimal", custom_rules=(CustomRule("head", r"reach (\w+) \[at"), CustomRule("nest", r"(?:com (\w+))")), domain_parsers=False, second_pass=False)).where("rule in ('head', 'nest')").collect()
+    assert {(r.rule, r.start, r.end, r.match) for r in odd} == {("head", 6, 8, "jo"), ("nest", 32, 35, "now")}
     own = detect(df, config=Config(custom_rules=(CustomRule("word", r"\breach\b"),), known_names=("jo",), second_pass=False)).where("rule in ('word', 'known_name')").collect()
     assert {(r.doc_id, r.rule) for r in own} >= {(4, "word"), (4, "known_name")}
 
@@ -118,6 +121,15 @@ def test_fragments_and_limits():
     assert admit([0.0, 1.0, 2.0, 60.5], 2)[0] == [(True, 0), (True, 0), (False, 58), (True, 0)]
 
 
+def assert_rows(spark, query, table, n):
+    """Waits for rows of a stream that, having timeouts, never says it is done."""
+    until = time.time() + 90
+    while spark.table(table).count() < n and query.isActive and time.time() < until:
+        time.sleep(0.5)
+    query.stop()
+    assert query.exception() is None and spark.table(table).count() == n
+
+
 def test_stream_of_fragments(spark, tmp_path):
     from veilspark.streaming.state import restore_fragments
 
@@ -126,6 +138,34 @@ def test_stream_of_fragments(spark, tmp_path):
     (tmp_path / "in/1.json").write_text(row % (1, "to [A", "false"))
     (tmp_path / "in/2.json").write_text(row % (2, "_1] bye", "true"))
     frames = spark.readStream.schema("stream_id string, channel string, seq long, frag string, last boolean, placeholders map<string,string>").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    query = restore_fragments(frames).writeStream.format("memory").queryName("restored_parts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = restore_fragments(frames).writeStream.format("memory").queryName("restored_parts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert_rows(spark, query, "restored_parts", 2)
     assert "".join(r.emitted for r in spark.sql("select * from restored_parts order by seq").collect()) == "to Ann bye"
+
+
+def test_limits_of_a_stream_and_of_principals(spark, tmp_path):
+    from veilspark.operators.gateway import authorised, checked_size
+    from veilspark.streaming.state import daily_quota, rate_limit, rate_limit_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join('{"principal":"%s","ts":"2024-01-01T00:00:%02d","rpm":%d}' % (who, k, rpm) for who, rpm in (("a", 2), ("b", 0)) for k in range(4)))
+    schema = "principal string, ts timestamp, rpm long"
+    query = rate_limit_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), "rpm").writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert_rows(spark, query, "limited", 8)
+    want = [("a", True), ("a", True), ("a", False), ("a", False), *[("b", True)] * 4]
+    assert [(r.principal, r.admitted) for r in spark.sql("select * from limited order by principal, ts").collect()] == want
+    rows = spark.read.schema(schema).json(str(tmp_path / "in")).withColumn("id", F.monotonically_increasing_id()).withColumn("tokens", F.lit(5))
+    assert [(r.key, r.admitted) for r in rate_limit(rows, "rpm", "principal", "ts", "id").orderBy("key", "ts").collect()] == want
+    assert [(r.key, r.admitted) for r in daily_quota(rows.withColumn("quota", F.col("rpm") * 5), "quota", "principal", "ts", "tokens", "id").orderBy("key", "id").collect()] == want
+    asked = spark.createDataFrame([("k", None, ["x"]), (None, "Bearer k", ["y" * 9]), ("z", None, ["y" * 9])], "x_api_key string, authorization string, texts array<string>")
+    keys = spark.createDataFrame([("k", "n", 1, 1)], "key string, name string, rpm int, daily_token_quota int")
+    assert sorted(r.status for r in checked_size(authorised(asked, keys), F.col("texts"), 5).collect()) == [200, 401, 413]
+
+
+def test_saved_maps_go_on(spark):
+    from veilspark.operators.scrub import scrub_on
+
+    df = spark.createDataFrame([("c@d.org and a@b.org and e@f.org", '{"format":"[{type}_{id}]","mappings":{"[EMAIL_4]":"A@b.org"},"counters":{"EMAIL":4}}'), ("x@y.org", None)], "text string, m string")
+    rows = scrub_on(df, "m", config=Config(domain_parsers=False, second_pass=False)).collect()
+    assert rows[0].sanitized == "[EMAIL_6] and [EMAIL_4] and [EMAIL_5]" and rows[0].placeholders == {"[EMAIL_4]": "A@b.org", "[EMAIL_5]": "e@f.org", "[EMAIL_6]": "c@d.org"}
+    assert rows[1].sanitized == "[EMAIL_1]" and rows[1].placeholders == {"[EMAIL_1]": "x@y.org"}

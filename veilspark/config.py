@@ -9,12 +9,12 @@ LEVELS = ("minimal", "standard", "aggressive")
 
 @dataclass(frozen=True)
 class CustomRule:
-    """A user's rule. If the regex has a group, its first one is the span; it must end the match."""
+    """A user's rule, which holds at every level. If the regex has a group, its first one is the span: a group at the top of
+    the regex may stand anywhere in the match, one that is nested or among alternatives must end it."""
 
     name: str
     regex: str
     type: str | None = None
-    level: str = "minimal"
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import changed, span
+from .spans import changed, let, span
 
 # Look-alikes with what they stand for, written-out signs, digit words.
 LOOK_ALIKE = ("аеорсухАВЕКМНОРСТ–—‘’“” ", "aeopcyxABEKMHOPCT--''\"\" ")
@@ -27,10 +27,16 @@ def plain_letters(text: Column) -> Column:
 
 def plain_signs(text: Column) -> Column:
     for pattern, sign in SIGNS:
-        text = F.regexp_replace(text, "(?iU)" + pattern, sign)
+        text = _where(text, pattern, sign)
     return text
 
 
+def _where(text: Column, pattern: str, sign: str) -> Column:
+    """A replacement on the texts alone that have what it looks for, blanks around it aside."""
+    core = pattern.removeprefix(r"\s*").removesuffix(r"\s*").replace(r"\s+", r"\s")
+    return let(text, lambda t: F.when(t.rlike("(?iU)" + core), F.regexp_replace(t, "(?iU)" + pattern, sign)).otherwise(t))
+
+
 def spelled(text: Column) -> Column:
     """Whether three or more digit words stand in a row; separators don't break the row, other words do."""
     words = F.split(F.lower(text), r"(?U)\s+")
@@ -41,16 +47,22 @@ def spelled(text: Column) -> Column:
         run = F.when(F.array_contains(digits, w), acc["run"] + 1).when(F.array_contains(between, w), acc["run"]).otherwise(0)
         return F.struct(run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-    return F.aggregate(words, F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), step, lambda acc: acc["most"] >= 3)
+    counted = F.aggregate(words, F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), step, lambda acc: acc["most"] >= 3)
+    digit, sign = "|".join(w for w, _ in DIGIT_WORDS), "|".join(w for w, _ in SEPARATORS)
+    # Two digit words with nothing but signs and separators between them: without, no three stand in a row.
+    return F.when(text.rlike(rf"(?iU)\b(?:{digit})\b\W+(?:(?:{sign})\b\W+)*(?:{digit})\b"), counted).otherwise(F.lit(False))
 
 
 def plain_digits(text: Column) -> Column:
-    out = text
-    for word, sign in DIGIT_WORDS + SEPARATORS:
-        out = F.regexp_replace(out, rf"(?iU)\b{word}\b", sign)
-    # Blanks go between digits and the signs that stand alone among them.
-    joined = F.regexp_replace(out, r"(?U)(?<=\d)\s+(?=\d|[-.](?:\s+[-.])*\s+\d)", "")
-    return F.when(spelled(text), F.regexp_replace(joined, r"(?U)(?<=[\d][-.])\s+(?=\d)", "")).otherwise(text)
+    def rewritten(text: Column) -> Column:
+        out = text
+        for word, sign in DIGIT_WORDS + SEPARATORS:
+            out = F.regexp_replace(out, rf"(?iU)\b{word}\b", sign)
+        # Blanks go between digits and the signs that stand alone among them.
+        joined = F.regexp_replace(out, r"(?U)(?<=\d)\s+(?=\d|[-.](?:\s+[-.])*\s+\d)", "")
+        return F.regexp_replace(joined, r"(?U)(?<=[\d][-.])\s+(?=\d)", "")
+
+    return let(text, lambda t: F.when(spelled(t), rewritten(t)).otherwise(t))
 
 
 def normalised(text: Column) -> Column:

@@ -61,12 +61,12 @@ def spans_frame(df: DataFrame, text: str = "text", config: Config | None = None,
         df = df.withColumn("__s", F.concat("__s", F.coalesce(found, F.expr(NONE)))).drop("__r", "__o")
     if config.second_pass:
 
-        def second(plain: Column) -> Column:
+        def second(plain: Column, known: Column) -> Column:
             again = [base_spans(plain, config)] + ([domain.parsed(plain, PARSERS)] if config.domain_parsers else [])
-            new = normalise.unseen(F.concat(*again) if len(again) > 1 else again[0], F.col("__s"))
-            return F.when(plain != t, normalise.shifted(normalise.mapped_back(t, plain, new), SECOND)).otherwise(F.expr(NONE))
+            new = normalise.unseen(F.concat(*again) if len(again) > 1 else again[0], known)
+            return F.concat(known, F.when(plain != t, normalise.shifted(normalise.mapped_back(t, plain, new), SECOND)).otherwise(F.expr(NONE)))
 
-        df = df.withColumn("__s", F.concat(F.col("__s"), let(normalise.normalised(t), second)))
+        df = df.withColumn("__s", let(F.col("__s"), lambda known: let(normalise.normalised(t), lambda plain: second(plain, known))))
     if config.min_confidence > 0:
         df = df.withColumn("__s", F.filter("__s", lambda s: s["confidence"] >= config.min_confidence))
     return df.withColumn(out, resolved(F.col("__s"))).drop("__s")

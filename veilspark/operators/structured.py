@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.spans import NONE, changed, span
 from .detect import spans_frame
-from .scrub import numbered, originals, rebuilt
+from .scrub import numbers, originals, rebuilt
 
 # Parts of column names and their types, the first that fits counts; and names that are never personal.
 COLUMNS = (
@@ -51,17 +51,14 @@ def classify(column: str) -> str | None:
     return next((kind for pattern, kind in COLUMNS if re.search(pattern, column, re.I)), None)
 
 
-#: The places that one column's values have in a row's numbering.
-FIELD = 1 << 24
+def _own(marks: Column, column: int) -> Column:
+    """One column's marks, by start; they were numbered from its right."""
+    return F.reverse(F.filter(marks, lambda m: m["ord"] == column))
 
 
-def _moved(spans: Column, by: int) -> Column:
-    return F.transform(spans, lambda s: changed(s, start=s["start"] + by, end=s["end"] + by))
-
-
-def _own(marks: Column, base: int) -> Column:
-    mine = F.filter(marks, lambda m: (m["start"] >= base) & (m["start"] < base + FIELD))
-    return F.transform(mine, lambda m: F.struct((m["start"] - base).alias("start"), (m["end"] - base).alias("end"), m["placeholder"].alias("placeholder")))
+def _in_column(spans: Column, column: int) -> Column:
+    """A column's spans from its right, with the column's number in place of the rule's."""
+    return F.reverse(F.transform(spans, lambda s: changed(s, ord=F.lit(column))))
 
 
 def scrub_table(df: DataFrame, types: dict[str, str | None] | None = None, config: Config | None = None) -> DataFrame:
@@ -82,13 +79,11 @@ def scrub_table(df: DataFrame, types: dict[str, str | None] | None = None, confi
             out = out.withColumn(f"__s{i}", F.when(F.length(F.trim(value)) > 0, whole).otherwise(F.expr(NONE)))
         else:
             out = spans_frame(out, c, config, out=f"__s{i}")
-        # Places of later columns come first, so that numbering from the right goes through the columns in order.
-        parts.insert(0, _moved(F.col(f"__s{i}"), (len(texts) - i) * FIELD))
+        parts.append(_in_column(F.col(f"__s{i}"), i))
     if not texts:
         return df.withColumn("placeholders", F.expr("cast(map() as map<string,string>)"))
-    ordered = F.array_sort(F.concat(*parts), lambda a, b: a["start"] - b["start"])
-    out = out.withColumn("__m", numbered(ordered, config.placeholder))
+    out = out.withColumn("__all", F.concat(*parts)).withColumn("__m", numbers(F.col("__all"), config.placeholder)).drop("__all")
     redacted = {}
     for i, c in enumerate(texts):
-        redacted[c] = rebuilt(F.col(c), _own(F.col("__m"), (len(texts) - i) * FIELD))
+        redacted[c] = rebuilt(F.col(c), _own(F.col("__m"), i))
     return out.withColumns({"placeholders": originals(F.col("__m")), **redacted}).drop("__m", *[f"__s{i}" for i in range(len(texts))])

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +18,19 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, computed once and read from the folder that all executors share (``spark.checkpoint.dir``).
+
+    Where that setting is unset, a temporary folder is used on a local master; on a cluster it must be set.
+    """
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="veilspark-")
+        spark.sparkContext.setCheckpointDir(at)
+    return df.checkpoint(eager=True)
