@@ -233,6 +233,43 @@ def test_warc_derivatives(spark):
     assert b'"http://e.org/x?a=1&b=2"' in bytes(one["metadata"].warc) and b"A & B" in bytes(one["metadata"].warc)
 
 
+def test_warc_odd_records(spark):
+    page = '<head><title>t</title><p>seen<a data-href="/no" href="/yes">x</a><!-- <a href="/comment"> --><script>"<a href=/script>"</script><a class=q href=/z>y</a>'
+    assert warc.links(page, "http://e.org/") == ["http://e.org/yes", "http://e.org/z"] and warc.visible(page).split("\n") == ["seenx", "y"]
+    latin = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n<p>caf\xe9")
+    packed = zlib.compress("<p>é".encode())
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: deflate\r\n\r\n" + b"%x\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n"
+    other = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>")], chunked)
+    assert warc.derive(latin)[1][2].decode() == "café" and warc.derive(other)[1][2].decode() == "é"
+    bad = [b"", b"no record", latin[:-20], b"WARC/1.1\r\nContent-Length: x\r\n\r\n"]
+    records = spark.createDataFrame([(i, b) for i, b in enumerate([latin, *bad, None])], "page_id long, warc binary")
+    assert [r.page_id for r in warc.derivatives(records).collect()] == [0, 0] and warc.derivatives(records.limit(0)).count() == 0
+
+
+def test_mix_by_brute_force(spark):
+    random = np.random.default_rng(2)
+    rows = [(i, "w " * int(random.integers(0, 60)), None if i % 7 == 0 else f"s{i % 4}") for i in range(900)] + [(None, "n " * k, "s1") for k in range(40)] + [(5, "same words here", "s2")] * 3
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), group_rows=100).toPandas()
+    names = sorted({r[2] for r in rows if r[2]}) + [None]
+    sizes = [sum(len(r[1].split()) for r in rows if r[2] == n) for n in names]
+    want = dict(zip(names, mixing.water_fill(sizes, [3, 1, 2, 3, 1], 1.5 * sum(sizes), 2), strict=True))
+    for name, size in zip(names, sizes, strict=True):
+        g = got[got["source"].isna() if name is None else got["source"] == name]
+        # Entropy balancing by bisection over one multiplier.
+        s, low, high = g["size"].to_numpy("float64"), -50.0, 50.0
+        rate = lambda x, s=s: np.minimum(2, 1.5 * np.exp(np.minimum(700, x * s / s.mean())))
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (s * rate(middle)).sum() < want[name] else (low, middle)
+        assert g["target"].iloc[0] == pytest.approx(want[name]) and g["source_size"].iloc[0] == size
+        if want[name] < 2 * size:
+            assert np.allclose(g["rate"][s > 0], rate(high)[s > 0], atol=1e-4)
+        assert abs(g["taken"].sum() - want[name]) <= 0.01 * want[name] + 60
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("doc_id").count().collect()
+    again = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("count")).collect()
+    assert {r.doc_id: r["count"] for r in out} == {r.doc_id: r["count"] for r in again}
+
+
 def brute_links(texts, n=5, least=0.8):
     sets = {t: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if (w := t.split()) else set() for t in texts}
     return {(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}

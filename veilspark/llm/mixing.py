@@ -94,7 +94,7 @@ def solve_dual(hist: DataFrame, stats: list[tuple[int, int, int]], targets: list
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whole copies for one group: the error moves on from large documents to small ones."""
-    pdf = pdf.sort_values(["size", "doc_id", "plan"], ascending=[False, True, False], kind="stable")
+    pdf = pdf.sort_values(["size", "doc_id", "key"], ascending=[False, True, True], kind="stable")
     size, plan, most = pdf["size"].tolist(), pdf["plan"].tolist(), pdf["most"].tolist()
     copies, error = np.zeros(len(size), "int64"), 0.0
     for i, (s, p, m) in enumerate(zip(size, plan, most, strict=True)):
@@ -104,21 +104,21 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
             error = want - c * s
         else:
             copies[i] = math.floor(p + 0.5)
-    return pdf.assign(copies=copies, taken=copies * pdf["size"])[["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"]]
+    return pdf.assign(copies=copies, taken=copies * pdf["size"])[["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", "key"]]
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, size: F.Column | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) for each row of ``df`` (doc_id, source, text).
+    """(doc_id, source, size, source_size, target, rate, copies, taken, key: a hash of the text) for each row of ``df`` (doc_id, source, text).
 
     Sources in code-point order, null last, get ``weights`` in turn; together they get ``share`` of all words.
     A null or empty text has size 0; it is taken 0 words, and ``copies`` is its base rate rounded. Repeated rows and
     ids count as documents of their own. An empty table gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
-    rows = saved(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (words_of(F.col("text")) if size is None else size).alias("size")))
-    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).collect()
+    rows = saved(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (words_of(F.col("text")) if size is None else size).alias("size"), _key().alias("key")))
+    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
-        raise ValueError(f"{len(per)} sources; this operator is made for {MAX_SOURCES} at most")
+        raise ValueError(f"this operator is made for {MAX_SOURCES} sources at most")
     per.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     weight = cycle(weights)
     stats = [(i, r["n"], r["words"]) for i, r in enumerate(per)]
@@ -137,14 +137,22 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
         .withColumn("rate", rate)
         .withColumn("plan", F.round(F.col("rate") * F.greatest("size", F.lit(1)), 4))
         .withColumn("most", F.lit(cap))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_source") / group_rows)))
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "key"), F.ceil(F.col("n_source") / group_rows)))
     )
     return planned.groupBy("source_no", "part").applyInPandas(
-        _round, "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long"
+        _round, "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long, key long"
     )
 
 
+def _key() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def mixed(df: DataFrame, **law) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it (the rows of an id share their copies)."""
-    copies = mix(df, **law).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    return df.join(copies.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__k")
+    """The rows of ``df``, each as often as the mix takes it. Rows alike in doc_id, source and text give one of them as often as they are taken together."""
+    same = ["doc_id", "source", "key"]
+    copies = mix(df, **law).groupBy(*same).agg(F.sum("copies").alias("__copies")).where("__copies > 0").select(*(F.col(c).alias(f"__{c}") for c in same), "__copies")
+    rows = df.withColumn("__row", _key()).dropDuplicates(["doc_id", "source", "__row"])
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__row") == F.col("__key"))
+    taken = rows.join(copies, on).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return taken.select(*df.columns)

@@ -8,11 +8,13 @@ target, date, digests and identifier (WARC-Refers-To and its companions) and has
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -24,11 +26,15 @@ from .common import by_size
 
 VERSION = "WARC/1.1"
 EPOCH = "2024-01-01T00:00:00Z"
-HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
+#: What no reader sees. A head may lack its end: it is over where the body, or the first thing that only a body has, begins.
+UNREAD = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
+HEAD = re.compile(r"<head\b[^>]*>.*?(?=</head\s*>|<body\b|<(?:address|article|aside|blockquote|div|dl|footer|form|h[1-6]|header|hr|img|main|nav|ol|p|pre|section|span|table|ul|a|b|i)\b|$)", re.S | re.I)
+CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"<[/!?a-zA-Z][^>]*(?:>|$)")
 BLANK = re.compile(r"[ \t\r\f\v ]+")
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = r"(?:[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|/)"
+LINK = re.compile(rf"<a(?:\s+(?!href\s*=){ATTRIBUTE})*\s+href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 
 
@@ -77,13 +83,14 @@ def response(key: object, url: str | None, page: str | None, date: str = EPOCH)
 
 def visible(page: str) -> str:
     """The text a reader sees: a line for each block, runs of blanks as one, no empty lines."""
-    text = html.unescape(TAG.sub("", BREAK.sub("\n", HIDDEN.sub("\n", page))))
+    text = html.unescape(TAG.sub("", BREAK.sub("\n", HEAD.sub("\n", UNREAD.sub("\n", page)))))
     return "\n".join(line for line in (BLANK.sub(" ", x).strip() for x in text.split("\n")) if line)
 
 
 def links(page: str, base: str) -> list[str]:
+    """The targets of the page's ``a`` elements; what stands in comments, scripts and the like is none."""
     out = []
-    for m in LINK.finditer(page):
+    for m in LINK.finditer(UNREAD.sub("\n", page)):
         target = html.unescape(next((g for g in m.groups() if g is not None), "")).strip()
         if not target:
             continue
@@ -94,21 +101,62 @@ def links(page: str, base: str) -> list[str]:
     return out
 
 
+def payload(head: list[list[str]], body: bytes) -> bytes:
+    """The body without its transfer and content encodings: chunks, gzip and deflate; left as it is if it doesn't hold what it says."""
+    named = {k.lower(): v.lower() for k, v in head}
+    try:
+        if "chunked" in named.get("transfer-encoding", ""):
+            rest, parts = body, []
+            while rest:
+                size, _, rest = rest.partition(b"\r\n")
+                n = int(size.split(b";")[0], 16)
+                if not n:
+                    break
+                parts.append(rest[:n])
+                rest = rest[n + 2 :]
+            body = b"".join(parts)
+        for kind in reversed([x.strip() for x in named.get("content-encoding", "").split(",")]):
+            if kind in ("gzip", "x-gzip", "deflate"):
+                try:
+                    body = zlib.decompress(body, 47)
+                except zlib.error:
+                    body = zlib.decompress(body, -15)
+    except (ValueError, zlib.error):
+        return body
+    return body
+
+
+def decoded(head: list[list[str]], body: bytes) -> str:
+    """The page as text: by the header's charset, else one named near the page's beginning, else UTF-8."""
+    said = next((v.encode("utf-8", "replace") for k, v in head if k.lower() == "content-type"), b"")
+    name = CHARSET.search(said) or CHARSET.search(body[:1024])
+    try:
+        codec = codecs.lookup(name[1].decode("ascii")).name if name else "utf-8"
+        # The web's rule: these labels mean Windows-1252.
+        return body.decode("cp1252" if codec in ("iso8859-1", "ascii") else codec, "replace")
+    except (LookupError, UnicodeDecodeError):
+        return body.decode("utf-8", "replace")
+
+
 def derive(data: bytes) -> list[tuple[str, dict[str, str], bytes, bytes]]:
-    """(type, headers, block, whole record) of the two derivatives of a response; none of a record of another type."""
-    source, block = parse(data)
+    """(type, headers, block, whole record) of the two derivatives of a response; none of a record of another type, or of bytes that are no whole record."""
+    try:
+        source, block = parse(data)
+    except ValueError:
+        return []
     own = {k.lower(): v for k, v in source}
     if own.get("warc-type") != "response":
         return []
     head, found, body = block.partition(b"\r\n\r\n")
     if not found:
         head, body = b"", block
-    page, at = body.decode("utf-8", "replace"), own.get("warc-target-uri", "")
     status, *http = head.decode("utf-8", "replace").split("\r\n")
+    named = [[k.strip(), v.strip()] for k, _, v in (h.partition(":") for h in http)]
+    page, at = decoded(named, payload(named, body)), own.get("warc-target-uri", "")
     title = TITLE.search(page)
     digest = {
         "source": source,
-        "http": {"status": status, "headers": [[k.strip(), v.strip()] for k, _, v in (h.partition(":") for h in http)]},
+        "http": {"status": status, "headers": named},
         "title": BLANK.sub(" ", html.unescape(title[1])).strip() if title else None,
         "links": links(page, at),
     }
@@ -146,7 +194,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     """Two rows for each response of ``records`` (page_id, warc), none for other records.
 
     (page_id, record_type, record_id, refers_to, target_uri, source_digest, block_digest, content_length, n_links, warc).
-    Repeated rows give repeated records with the same identifiers; a null record gives none, an empty page an empty text.
+    Repeated rows give repeated records with the same identifiers; a null record, and bytes that aren't a whole record, give
+    none, an empty page an empty text.
     """
     names = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", "n_links", "warc"]
 
