@@ -20,27 +20,44 @@ REST = COLUMNS[1:]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored under TOXIC stay, each judged for itself. A null or empty text has the score of no words; equal rows share a verdict.
+
+    Without labels of both kinds every row has one score. An empty table gives none; columns beyond those of documents are left out.
+    """
     ship(spark)
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.rate(docs, machine, REST).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold the base rules and score QUALITY or more stay, each judged for itself. Null, empty and very short texts go.
+
+    Repeated rows share a verdict; an empty table gives none; columns beyond those of documents are left out.
+    """
     ship(spark)
     return trees.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), QUALITY, carry=REST).where("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies one row stays, under its text's least doc_id (null last). Rows without id, or under a shared one, don't stand for each other.
+
+    Null and empty texts are copies of each other; an empty table gives no rows; columns beyond those of documents are left out.
+    """
     ship(spark)
     return forest.kept(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows come as often as the mix takes them, 0 to 2 times. A null source is one of its own; an empty table gives no rows.
+
+    Columns beyond those of documents are left out.
+    """
     ship(spark)
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every row's text, and digests of them. A null or empty text has no ids; repeated rows repeat; an empty table gives none."""
     import public_tokenizers
 
     ship(spark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -29,7 +30,7 @@ def saved(df: DataFrame) -> DataFrame:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
         if not at:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             at = tempfile.mkdtemp(prefix="veilspark-")
         spark.sparkContext.setCheckpointDir(at)
