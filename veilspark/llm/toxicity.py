@@ -24,6 +24,8 @@ from .trees import sampled_labels
 #: Labelled rows that the machine is fitted on, at most.
 SAMPLE = 10_000
 BUCKETS, FACTORS = 1 << 18, 4
+#: Terms in this share of the fitted rows, 20 at least, are also looked at in pairs.
+SHARE = 0.02
 #: Words that a task remembers before it starts anew, about 250 bytes each.
 CACHED = 100_000
 TERM = re.compile(r"\w+")
@@ -79,13 +81,14 @@ def telling(rows: list[np.ndarray], y: np.ndarray, buckets: int, most: int, leas
     return np.sort(best[chi[best] >= least])
 
 
-def paired(rows: list[np.ndarray], y: np.ndarray, buckets: int, known: np.ndarray, often: int = 20, least: float = 40.0, tile: int = 1024) -> np.ndarray:
+def paired(rows: list[np.ndarray], y: np.ndarray, buckets: int, known: np.ndarray, share: float = SHARE, least: float = 40.0, tile: int = 1024) -> np.ndarray:
     """The terms that tell the label only beside another one: among the rows with some term, their chi-square is at least ``least``.
 
-    Every pair of terms in ``often`` rows or more is looked at, in tiles; terms in ``known`` are looked at as companions.
+    Every pair of terms found in that share of the rows is looked at, in tiles; terms in ``known`` are looked at as
+    companions. Work grows with the square of the number of such terms, which the share bounds.
     """
     seen = np.bincount(np.concatenate(rows), minlength=buckets)
-    used = np.flatnonzero((seen >= often) & (seen < len(rows)))
+    used = np.flatnonzero((seen >= max(20, share * len(rows))) & (seen < len(rows)))
     place = np.full(buckets, -1)
     place[used] = np.arange(len(used))
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
@@ -93,7 +96,10 @@ def paired(rows: list[np.ndarray], y: np.ndarray, buckets: int, known: np.ndarra
     doc, at = doc[at >= 0], at[at >= 0]
     by = np.argsort(at, kind="stable")
     doc, at = doc[by], at[by]
-    label = (y == 1).astype("float32")[:, None]
+    # Rows of label 1 come first, so that their part of a product is a product of the first rows.
+    turn = np.empty(len(rows), "int64")
+    turn[np.argsort(y != 1, kind="stable")] = np.arange(len(rows))
+    doc, ones = turn[doc], int((y == 1).sum())
     told = np.isin(used, known)
     found = np.zeros(len(used), bool)
 
@@ -110,12 +116,13 @@ def paired(rows: list[np.ndarray], y: np.ndarray, buckets: int, known: np.ndarra
 
     for k in range(0, len(used), tile):
         x = part(k)
-        n, n1 = x.sum(0).astype("float64"), (x * label).sum(0).astype("float64")
+        n, n1 = x.sum(0).astype("float64"), x[:ones].sum(0).astype("float64")
         for j in range(k, len(used), tile):
             z = x if j == k else part(j)
-            both, on = (x.T @ z).astype("float64"), ((x * label).T @ z).astype("float64")
+            of = x[:ones].T @ z[:ones]
+            both, on = (of + x[ones:].T @ z[ones:]).astype("float64"), of.astype("float64")
             own, other = slice(k, k + x.shape[1]), slice(j, j + z.shape[1])
-            m, m1 = z.sum(0).astype("float64"), (z * label).sum(0).astype("float64")
+            m, m1 = z.sum(0).astype("float64"), z[:ones].sum(0).astype("float64")
             hit = hits(on, both, n1, n) & ~told[None, other]
             back = hits(on.T, both.T, m1, m) & ~told[None, own]
             if j == k:
