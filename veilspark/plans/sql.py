@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from ..config import LEVELS
+from ..functions.checksums import HETU
 from ..functions.normalise import LOOK_ALIKE
 from ..functions.rules import CATALOGUE
+from ..functions.scoring import BOOSTERS, LABEL, LABEL_BOOST, PLACEHOLDER_NAMES, REDUCERS, WINDOW
 from ..operators.structured import COLUMNS, SAFE
 
 RULES = {r.name: r for r in CATALOGUE}
@@ -71,9 +74,9 @@ def pattern(rule: str) -> str:
     return text(("(?i)" if r.fold else "") + r.regex)
 
 
-def spans(rule: str, source: str = "documents", key: str = "doc_id", column: str = "text", more: str = "") -> str:
+def spans(rule: str, source: str = "documents", key: str = "doc_id", column: str = "text", more: str = "", regex: str | None = None) -> str:
     """Rows (doc_id, n, start, end, match) of one rule: gaps and matches, and their running lengths."""
-    p, g = pattern(rule), 1 if RULES[rule].grouped else 0
+    p, g = regex or pattern(rule), 1 if RULES[rule].grouped else 0
     return f"""SELECT doc_id, {more} CAST(i - 1 AS BIGINT) AS n, CAST(stop - length(v[i]) AS BIGINT) AS "start", CAST(stop AS BIGINT) AS "end", v[i] AS "match" FROM (
 SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS stop FROM (
 SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
@@ -87,7 +90,7 @@ def scanned(names: tuple[str, ...] = SCAN_RULES, more: str = "") -> str:
 DIGITS = "list_transform(list_filter(string_split(regexp_replace({v}, '[^0-9]', '', 'g'), ''), lambda c: c <> ''), lambda c: CAST(c AS INTEGER))"
 
 
-def checks(name: str) -> str:
+def checks(name: str, rows: str | None = None) -> str:
     d = DIGITS.format(v="value")
     last = "CASE WHEN contains(value, ':') THEN string_split_regex(trim(value), '\\s+')[-1] ELSE value END"
     dl = DIGITS.format(v=f"({last})")
@@ -102,10 +105,60 @@ def checks(name: str) -> str:
         "south_korea_rrn": (d, f"len(d) = 13 AND d[13] = (11 - {weigh((2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5))} % 11) % 10"),
         "brazil_cpf": (d, " AND ".join(["len(d) = 11", "len(list_distinct(d)) > 1", *(f"d[{k}] = (CASE WHEN {w} % 11 < 2 THEN 0 ELSE 11 - {w} % 11 END)" for k, w in ((10, weigh(range(10, 1, -1))), (11, weigh(range(11, 1, -1)))))])),
     }
+    if name == "iban":
+        numbers = "list_transform(string_split(substr(d, 5) || substr(d, 1, 4), ''), lambda x: CASE WHEN ascii(x) < 65 THEN ascii(x) - 48 ELSE ascii(x) - 55 END)"
+        rest = f"list_reduce(list_prepend(0, {numbers}), lambda a, n: CASE WHEN n < 10 THEN (a * 10 + n) % 97 ELSE (a * 100 + n) % 97 END)"
+        tests[name] = ("upper(replace(value, ' ', ''))", f"CASE WHEN regexp_full_match(d, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+') THEN {rest} = 1 ELSE false END")
+    if name == "finland_hetu":
+        number = "TRY_CAST(substr(d, 1, 6) || substr(d, 8, 3) AS BIGINT)"
+        tests[name] = ("replace(value, ' ', '')", f"length(d) = 11 AND substr(d, 11, 1) = substr('{HETU}', CAST({number} % 31 AS INTEGER) + 1, 1)")
     if name not in tests:
         return ""
     made, test = tests[name]
-    return f"SELECT id, value, coalesce({test}, false) AS valid FROM (SELECT id, value, {made} AS d FROM {values(list(enumerate(CHECK_VALUES[name])), 'id, value')}) t"
+    source = rows or values(list(enumerate(CHECK_VALUES[name])), "id, value")
+    return f"SELECT * EXCLUDE (d), coalesce({test}, false) AS valid FROM (SELECT *, {made} AS d FROM {source}) t"
+
+
+def _all_spans() -> str:
+    """Every rule's spans of ``documents`` with the rule's place, and the confidence after check digits; what look-around says is said by conditions."""
+    out = []
+    for k, r in enumerate(CATALOGUE):
+        held = "true"
+        regex = r.regex.replace(r"(?=[A-Z0-9]*\d)", "").replace("(?!BG|GB|NK|KN|TN|NT|ZZ)", "").replace(r"(?<![\w:])", "").replace(r"(?![\w:])", "")
+        if r.name == "uk_nino":
+            held = "NOT regexp_matches(value, '(?i)^(BG|GB|NK|KN|TN|NT|ZZ)')"
+        elif r.name == "ip_address_v6":
+            held = """NOT regexp_matches(substr(text, CAST("start" AS INTEGER), CASE WHEN "start" > 0 THEN 1 ELSE 0 END) || ' ' || substr(text, CAST("end" AS INTEGER) + 1, 1), '[\w:]')"""
+        elif r.name in LOOKAROUND:
+            held = "regexp_matches(value, '[0-9]')"
+        one = spans(r.name, more="text,", regex=text(("(?i)" if r.fold else "") + regex))
+        rows = f"""(SELECT doc_id, text, "start", "end", "match" AS value FROM ({one}) o) p"""
+        valid = checks(r.name, rows) if r.name in CHECK_VALUES else f"SELECT *, CAST(NULL AS BOOLEAN) AS valid FROM {rows}"
+        out.append(f"""SELECT doc_id, "start", "end", value, {text(r.name)} AS rule, {text(r.type)} AS type, {k} AS ord, CAST(CASE WHEN NOT valid THEN 0.7 ELSE 1.0 END AS DOUBLE) AS confidence FROM ({valid}) q WHERE {held}""")
+    return " UNION ALL ".join(out)
+
+
+def resolved() -> str:
+    """Tables: found (without the allow-list's), ranked, kept: of overlapping spans the best, in order of rank."""
+    never = "('0.0.0.0', '255.255.255.255', '000-00-0000', '000.000.000-00', '0000000000')"
+    names = ", ".join(map(text, PLACEHOLDER_NAMES))
+    return f"""WITH RECURSIVE every AS ({_all_spans()}),
+found AS (SELECT * FROM every WHERE NOT (trim(value) IN {never} OR (type = 'PHONE' AND regexp_matches(value, '555[.\-\s]?01[0-9]{{2}}')) OR (type = 'NAME' AND trim(lower(value)) IN ({names}))
+OR (type = 'EMAIL' AND lower(string_split(value, '@')[-1]) IN ('localhost', 'invalid')) OR (type = 'IP' AND regexp_matches(value, '^(?:127\.|0\.|255\.)')))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, "end" - "start" DESC, "start", ord) AS rn FROM found),
+steps AS (SELECT doc_id, rn, true AS ok, ["start"] AS ks, ["end"] AS ke FROM ranked WHERE rn = 1
+UNION ALL SELECT doc_id, rn, free, CASE WHEN free THEN list_append(ks, s) ELSE ks END, CASE WHEN free THEN list_append(ke, e) ELSE ke END FROM (
+SELECT r.doc_id, r.rn, r."start" AS s, r."end" AS e, t.ks, t.ke, len(list_filter(range(1, len(t.ks) + 1), lambda i: r."start" < t.ke[i] AND r."end" > t.ks[i])) = 0 AS free FROM steps t JOIN ranked r ON r.doc_id = t.doc_id AND r.rn = t.rn + 1) n),
+kept AS (SELECT r.* FROM ranked r JOIN steps t ON r.doc_id = t.doc_id AND r.rn = t.rn AND t.ok)"""
+
+
+def _context() -> str:
+    plain = lambda p: text(p.replace("(?iU)", "(?i)").replace("(?U)", ""))
+    boost = "CASE " + " ".join(f"WHEN type = '{name}' AND regexp_matches(around, {text('(?i)' + words)}) THEN {plus}" for name, words, plus in BOOSTERS) + " ELSE 0.0 END"
+    label = f"CASE WHEN regexp_matches(before, {plain(LABEL)}) THEN {LABEL_BOOST} ELSE 0.0 END"
+    less = " + ".join(f"CASE WHEN regexp_matches(around, {plain(words)}) THEN {minus} ELSE 0.0 END" for words, minus in REDUCERS)
+    near = f"SELECT *, before || substr(text, stop + 1, {WINDOW}) AS around FROM (SELECT *, substr(text, greatest(0, begin - {WINDOW}) + 1, begin - greatest(0, begin - {WINDOW})) AS before FROM {values(CONTEXT_ROWS, 'id, text, begin, stop, type, base')}) a"
+    return f"SELECT id, CAST(round(greatest(0.0, least(1.0, base + {boost} + {label} + {less})), 6) AS DOUBLE) AS score FROM ({near}) b"
 
 
 def _classified() -> str:
@@ -154,6 +207,19 @@ SELECT o.scope, o.turn, o."start", o.value, i.placeholder, i.original FROM o JOI
     out["quota"] = """WITH e AS (SELECT event_id AS id, user_id AS key, ts, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, CAST(floor(value) AS BIGINT) AS t FROM events),
 u AS (SELECT *, CAST(coalesce(sum(greatest(t, 0)) OVER (PARTITION BY key, day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used_before FROM e)
 SELECT id, key, used_before, used_before < 100 AS admitted, CASE WHEN used_before >= 100 THEN CAST(86400 - (epoch_us(ts) // 1000000) % 86400 AS BIGINT) ELSE 0 END AS retry_after FROM u"""
+    out["rate_limit_exact"] = """WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) / 1e6 AS secs, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+w AS (SELECT id, key, rn, true AS admitted, 0 AS retry_after, [secs] AS kept FROM e WHERE rn = 1
+UNION ALL SELECT id, key, rn, len(f) < 2, CASE WHEN len(f) < 2 THEN 0 ELSE greatest(1, CAST(trunc(f[1] + 60 - secs) AS INTEGER)) END, CASE WHEN len(f) < 2 THEN list_append(f, secs) ELSE f END
+FROM (SELECT e.*, list_filter(w.kept, lambda x: x >= e.secs - 60) AS f FROM w JOIN e ON e.key = w.key AND e.rn = w.rn + 1) n)
+SELECT id, key, admitted, retry_after FROM w"""
+    out["context_score"] = _context()
+    kept = resolved()
+    out["dedup_overlaps"] = kept + ' SELECT doc_id, "start", "end", value AS "match", rule, type, round(confidence, 6) AS confidence FROM kept'
+    out["type_summary"] = kept + " SELECT lang, type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM kept JOIN documents USING (doc_id) GROUP BY lang, type"
+    out["audit_summary"] = kept + " SELECT type, count(*) AS n, count(DISTINCT doc_id) AS records FROM kept GROUP BY type"
+    out["restore_roundtrip"] = kept + """ SELECT d.doc_id, true AS exact, coalesce(n, 0) AS n_placeholders, coalesce(c, 0) AS pii_count FROM documents d
+LEFT JOIN (SELECT doc_id, count(DISTINCT lower(value)) AS n, count(*) AS c FROM kept GROUP BY doc_id) k ON d.doc_id = k.doc_id WHERE d.text IS NOT NULL"""
+    out["rule_catalogue"] = "SELECT * FROM " + values([(i, r.name, r.type, LEVELS[r.level], r.java, r.grouped) for i, r in enumerate(CATALOGUE)], "position, rule, type, level, regex, grouped")
     signs = "text"
     for p, s in (("\\s*\\[\\s*at\\s*\\]\\s*", "@"), ("\\s*\\(\\s*at\\s*\\)\\s*", "@"), ("\\s+at\\s+", "@"), ("\\s*\\[\\s*dot\\s*\\]\\s*", "."), ("\\s*\\(\\s*dot\\s*\\)\\s*", "."), ("\\s+dot\\s+", ".")):
         signs = f"regexp_replace({signs}, '(?i){p}', '{s}', 'g')"
