@@ -1,10 +1,11 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-A text is the set of its word 5-grams. Each tree of the forest sorts the signatures (runs of min-hashes) as a prefix
-trie. Two texts meet in a tree at the length of prefix they share; matched prefixes are shortened from the full depth
-until texts at the threshold meet in some tree with the target recall. Texts that meet are put into one candidate
-component, and all pairs of a component are verified exactly on the whole shingle sets, in blocks, so no link between
-texts of one component is lost and no pair is ever emitted as a row.
+A text is the set of its word 5-grams. A tree of the forest has texts by their signatures (runs of min-hashes); texts
+that share a prefix of a tree meet there. The full depth is shortened to the longest prefix at which texts at the
+threshold still meet in some tree with the target recall. At one threshold that bound gives every text the same length,
+so prefixes are grouped as they are and no trie is walked. Texts that meet are put into one candidate component, and all
+pairs of a component are verified exactly on the whole shingle sets, in blocks, so no link between texts of one component
+is lost and no pair is ever emitted as a row.
 """
 
 from __future__ import annotations
