@@ -109,6 +109,12 @@ def test_names_and_review():
     text, regions = review.marked("call Bob Ray now", [(6, 8)])
     assert text == "call >>>Bob<<< Ray now" and regions == [(5, 8)]
     assert review.located('```json\n[{"text": "bob", "type": "person"}]\n```', "call Bob now", [(5, 8)]) == [(5, 8, "NAME", 0.5)]
+    long = "First sentence here. Second one, with a comma and words " * 5
+    parts = review.chunks(long, [(0, len(long))])
+    assert [(s, e) for *_, s, e in parts][0][0] == 0 and all(e - s <= 120 for *_, s, e in parts) and "".join(long[s:e] for *_, s, e in parts) == long
+    assert all(a <= s and b >= e and (a == 0 or long[a] in " .") for a, b, s, e in parts) and long[parts[0][2] : parts[0][3]].endswith(". ")
+    assert review.replies('{"text": "a"}\n{"text": "b"},\nnoise [1, {"text": "c"}] [broken') == [{"text": "a"}, {"text": "b"}, {"text": "c"}]
+    assert review.located('[{"text": "Bob.", "type": "x", "region": 1, "confidence": 1}]', "Bob is bob", [(0, 10)]) == [(0, 3, "X", 1.0)]
     assert review.replies("nothing") == [] and review.replies('{"pii": [{"text": "x"}]}') == [{"text": "x"}]
 
 

@@ -107,7 +107,7 @@ def checksum_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "documents"), config=PLAIN).select("doc_id", "start", "end", "match", "rule", "type", F.round("confidence", 6).alias("confidence"))
+    return detect(table(spark, sf_dir, "documents"), config=PLAIN).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "match", "rule", "type", F.round("confidence", 6).alias("confidence"))
 
 
 def scrub_email(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def scrub_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scrub(table(spark, sf_dir, "documents").select("doc_id", "text"), config=PLAIN)
-    return rows.select("doc_id", (restored(F.col("sanitized"), F.col("placeholders")) == F.col("text")).alias("exact"), F.size("placeholders").alias("n_placeholders"), "pii_count")
+    return rows.select("doc_id", (restored(F.col("sanitized"), F.col("placeholders")) == F.col("text")).alias("exact"), F.size("placeholders").cast("long").alias("n_placeholders"), F.col("pii_count").cast("long").alias("pii_count"))
 
 
 def conversation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:

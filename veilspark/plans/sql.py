@@ -128,7 +128,7 @@ def _all_spans() -> str:
         if r.name == "uk_nino":
             held = "NOT regexp_matches(value, '(?i)^(BG|GB|NK|KN|TN|NT|ZZ)')"
         elif r.name == "ip_address_v6":
-            held = """NOT regexp_matches(substr(text, CAST("start" AS INTEGER), CASE WHEN "start" > 0 THEN 1 ELSE 0 END) || ' ' || substr(text, CAST("end" AS INTEGER) + 1, 1), '[\w:]')"""
+            held = """NOT regexp_matches(substr(text, CAST("start" AS INTEGER), CASE WHEN "start" > 0 THEN 1 ELSE 0 END) || ' ' || substr(text, CAST("end" AS INTEGER) + 1, 1), '[\\w:]')"""
         elif r.name in LOOKAROUND:
             held = "regexp_matches(value, '[0-9]')"
         one = spans(r.name, more="text,", regex=text(("(?i)" if r.fold else "") + regex))
@@ -143,8 +143,8 @@ def resolved() -> str:
     never = "('0.0.0.0', '255.255.255.255', '000-00-0000', '000.000.000-00', '0000000000')"
     names = ", ".join(map(text, PLACEHOLDER_NAMES))
     return f"""WITH RECURSIVE every AS ({_all_spans()}),
-found AS (SELECT * FROM every WHERE NOT (trim(value) IN {never} OR (type = 'PHONE' AND regexp_matches(value, '555[.\-\s]?01[0-9]{{2}}')) OR (type = 'NAME' AND trim(lower(value)) IN ({names}))
-OR (type = 'EMAIL' AND lower(string_split(value, '@')[-1]) IN ('localhost', 'invalid')) OR (type = 'IP' AND regexp_matches(value, '^(?:127\.|0\.|255\.)')))),
+found AS (SELECT * FROM every WHERE NOT (trim(value) IN {never} OR (type = 'PHONE' AND regexp_matches(value, '555[.\\-\\s]?01[0-9]{{2}}')) OR (type = 'NAME' AND trim(lower(value)) IN ({names}))
+OR (type = 'EMAIL' AND lower(string_split(value, '@')[-1]) IN ('localhost', 'invalid')) OR (type = 'IP' AND regexp_matches(value, '^(?:127\\.|0\\.|255\\.)')))),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, "end" - "start" DESC, "start", ord) AS rn FROM found),
 steps AS (SELECT doc_id, rn, true AS ok, ["start"] AS ks, ["end"] AS ke FROM ranked WHERE rn = 1
 UNION ALL SELECT doc_id, rn, free, CASE WHEN free THEN list_append(ks, s) ELSE ks END, CASE WHEN free THEN list_append(ke, e) ELSE ke END FROM (
