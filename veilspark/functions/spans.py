@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import LEVELS, Rule
@@ -122,3 +122,12 @@ def merged(spans: Column) -> Column:
 
 
 LEVEL_NAMES = LEVELS
+
+
+def each(df: DataFrame, items: Column, *keep: Column | str) -> DataFrame:
+    """The kept columns and ``s``, an item of an array that has no null ones, in a row for each.
+
+    By an outer explode: of a plain one the optimiser infers a filter on the array's size, which it moves below, to the
+    scan, with all that makes the array, so that every text would be scanned twice.
+    """
+    return df.select(*keep, F.explode_outer(items).alias("s")).where("s is not null")

@@ -26,7 +26,7 @@ def audit(df: DataFrame, text: str = "text", config: Config | None = None, at: s
 
 def totals(records: DataFrame) -> DataFrame:
     """Counts by type over audit records."""
-    return records.select(F.explode("pii_types").alias("type", "n")).groupBy("type").agg(F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("records"))
+    return records.select(F.explode_outer("pii_types").alias("type", "n")).where("type is not null").groupBy("type").agg(F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("records"))
 
 
 def export(records: DataFrame, path: str, format: str = "json") -> None:

@@ -12,7 +12,7 @@ from ..config import Config
 from ..functions import domain, normalcy, normalise, scoring
 from ..functions.names import Gazetteer, name_spans
 from ..functions.rules import Rule, active
-from ..functions.spans import NONE, let, resolved, rule_spans
+from ..functions.spans import NONE, each, let, resolved, rule_spans
 
 #: Orders of the layers after the rules, for ties.
 PARSERS, KNOWN, NAMES, NER, SECOND, REVIEW = 1000, 1500, 2000, 2500, 3000, 5000
@@ -75,7 +75,7 @@ def spans_frame(df: DataFrame, text: str = "text", config: Config | None = None,
 def detect(df: DataFrame, text: str = "text", config: Config | None = None, keep: tuple[str, ...] = ("doc_id",), **layers) -> DataFrame:
     """One row for each span: the kept columns, then start, end, text, rule, type, level, layer, confidence."""
     rows = spans_frame(df.select(*keep, F.col(text).alias("__text")), "__text", config, out="__spans", **layers)
-    return rows.select(*keep, F.explode("__spans").alias("s")).select(*keep, "s.start", "s.end", F.col("s.text").alias("match"), "s.rule", "s.type", "s.level", "s.layer", "s.confidence")
+    return each(rows, F.col("__spans"), *keep).select(*keep, "s.start", "s.end", F.col("s.text").alias("match"), "s.rule", "s.type", "s.level", "s.layer", "s.confidence")
 
 
 def summary(detections: DataFrame, *by: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Config
-from ..functions.spans import let
+from ..functions.spans import each, let
 from ..runtime import saved
 from .detect import spans_frame
 
@@ -131,7 +131,7 @@ def marked_occurrences(df: DataFrame, scope: str = "conv_id", turn: str = "turn"
     """(scope, turn, digest, start, end, value, type, placeholder, original): each span of each different row, numbered by conversation."""
     config = config or Config()
     spans = spans_frame(df.select(F.col(scope).alias("scope"), F.col(turn).alias("turn"), F.col(text).alias("__t")), "__t", config, out="__spans", **layers)
-    found = spans.select("scope", "turn", _digest("__t").alias("digest"), F.explode("__spans").alias("s")).select("scope", "turn", "digest", "s.start", "s.end", F.col("s.text").alias("value"), "s.type")
+    found = each(spans, F.col("__spans"), "scope", "turn", _digest("__t").alias("digest")).select("scope", "turn", "digest", "s.start", "s.end", F.col("s.text").alias("value"), "s.type")
     return _numbered_in_scope(saved(found.distinct()), config.placeholder)
 
 

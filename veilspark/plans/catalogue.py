@@ -11,11 +11,12 @@ from pyspark.sql.window import Window
 from ..config import Config
 from ..functions import checksums, normalcy, normalise, scoring
 from ..functions.rules import CATALOGUE
-from ..functions.spans import rule_spans
+from ..functions.spans import each, rule_spans
 from ..operators import evaluate, structured
 from ..operators.audit import audit, totals
 from ..operators.detect import detect, spans_frame, summary
 from ..operators.scrub import restored, scrub, scrub_messages
+from ..runtime import spread
 from ..streaming.state import daily_quota, rate_limit
 from . import sql
 
@@ -29,9 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are scanned, over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans, redacted text and counts of the documents that have any e-mail address, IP address or card number."""
-    rows = scrub(table(spark, sf_dir, "documents").select("doc_id", "text"), config=Config(level="standard", second_pass=False, domain_parsers=False))
+    rows = scrub(texts(spark, sf_dir).select("doc_id", "text"), config=Config(level="standard", second_pass=False, domain_parsers=False))
     wanted = F.filter(F.map_keys("pii_summary"), lambda t: t.isin("EMAIL", "IP", "CREDIT_CARD"))
     return rows.where(F.size(wanted) > 0).select("doc_id", "pii_count", F.to_json("pii_summary").alias("pii_summary"), "sanitized")
 
@@ -39,7 +45,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rule_query(rule: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans = rule_spans(F.coalesce(F.col(text), F.lit("")), [RULES[rule]])
-        return table(spark, sf_dir, source).select(F.col(key).alias("doc_id"), F.posexplode(spans).alias("n", "s")).select("doc_id", F.col("n").cast("long").alias("n"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("match"))
+        return texts(spark, sf_dir, source).select(F.col(key).alias("doc_id"), F.posexplode_outer(spans).alias("n", "s")).where("s is not null").select("doc_id", F.col("n").cast("long").alias("n"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("match"))
 
     return run
 
@@ -59,17 +65,17 @@ def _checksum(name: str) -> Query:
 def rules_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _values(spark, list(enumerate(sql.RULE_TEXTS)), "id long, text string")
     found = rule_spans(F.col("text"), [r for r in CATALOGUE if r.name in sql.FIXTURE_RULES])
-    return rows.select("id", F.explode(found).alias("s")).groupBy("id", F.col("s.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.min("s.start").cast("long").alias("first_start"), F.max("s.end").cast("long").alias("last_end"))
+    return each(rows, found, "id").groupBy("id", F.col("s.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.min("s.start").cast("long").alias("first_start"), F.max("s.end").cast("long").alias("last_end"))
 
 
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every layer that needs no model, over whole texts."""
-    return detect(table(spark, sf_dir, "documents"), config=Config(level="aggressive")).withColumn("confidence", F.round("confidence", 6))
+    return detect(texts(spark, sf_dir), config=Config(level="aggressive")).withColumn("confidence", F.round("confidence", 6))
 
 
 def _doc_type_counts(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = sql.SCAN_RULES) -> DataFrame:
     spans = rule_spans(F.coalesce("text", F.lit("")), [RULES[n] for n in names])
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(spans).alias("s")).select("doc_id", "lang", "source", "s.type", "s.start", "s.end", "s.text", "s.rule")
+    return each(texts(spark, sf_dir), spans, "doc_id", "lang", "source").select("doc_id", "lang", "source", "s.type", "s.start", "s.end", "s.text", "s.rule")
 
 
 def pii_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +91,7 @@ def pii_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     spans = rule_spans(F.coalesce("text", F.lit("")), [RULES[n] for n in sql.SCAN_RULES])
     chars = F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"])
     return docs.select("lang", F.length("text").alias("n"), chars.alias("c")).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("c") > 0).alias("docs_with_pii"), F.round(F.sum("c") / F.sum("n"), 9).alias("density"))
@@ -107,7 +113,7 @@ def checksum_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "documents"), config=PLAIN).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "match", "rule", "type", F.round("confidence", 6).alias("confidence"))
+    return detect(texts(spark, sf_dir), config=PLAIN).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "match", "rule", "type", F.round("confidence", 6).alias("confidence"))
 
 
 def scrub_email(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,18 +122,18 @@ def scrub_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scrub(table(spark, sf_dir, "documents").select("doc_id", "text"), config=PLAIN)
+    rows = scrub(texts(spark, sf_dir).select("doc_id", "text"), config=PLAIN)
     return rows.select("doc_id", (restored(F.col("sanitized"), F.col("placeholders")) == F.col("text")).alias("exact"), F.size("placeholders").cast("long").alias("n_placeholders"), F.col("pii_count").cast("long").alias("pii_count"))
 
 
 def conversation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One numbering for all documents of a source, in the order of their ids, as if they were turns."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = texts(spark, sf_dir).select("doc_id", "text", "source")
     return scrub_messages(docs, "source", "doc_id", config=Config(level="standard", domain_parsers=False, second_pass=False)).select("doc_id", "source", F.sha2("sanitized", 256).alias("sanitized_sha256"), F.coalesce(F.size("placeholders"), F.lit(0)).alias("n_placeholders"))
 
 
 def scrub_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scrub_messages(table(spark, sf_dir, "conversations"), config=PLAIN).select("conv_id", "turn", "role", "sanitized")
+    return scrub_messages(texts(spark, sf_dir, "conversations"), config=PLAIN).select("conv_id", "turn", "role", "sanitized")
 
 
 def placeholder_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,18 +154,18 @@ def structured_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalcy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    w = docs.select("doc_id", F.explode(normalcy.windows(F.coalesce("text", F.lit("")))).alias("w"))
+    docs = texts(spark, sf_dir)
+    w = each(docs, normalcy.windows(F.coalesce("text", F.lit(""))), "doc_id").withColumnRenamed("s", "w")
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("w.score") < 0.5).alias("suspicious"), F.round(F.min("w.score"), 6).alias("least"))
 
 
 def suspicious_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(normalcy.suspicious(F.coalesce("text", F.lit("")))).alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
+    docs = texts(spark, sf_dir)
+    return each(docs, normalcy.suspicious(F.coalesce("text", F.lit(""))), "doc_id").select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
 def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spans_frame(table(spark, sf_dir, "documents"), config=PLAIN)
+    rows = spans_frame(texts(spark, sf_dir), config=PLAIN)
     regions = normalcy.suspicious(F.col("text"))
     rows = rows.withColumn("r", regions).withColumn("o", normalcy.uncovered(F.col("r"), F.col("spans")))
     return rows.select("doc_id", F.size("o").alias("open"), normalcy.needs_review(F.col("text"), F.col("r"), F.col("o"), F.col("spans"), PLAIN).alias("review"))
@@ -184,7 +190,7 @@ def html_page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audit(table(spark, sf_dir, "documents"), config=PLAIN, at="2024-01-01")
+    rows = audit(texts(spark, sf_dir), config=PLAIN, at="2024-01-01")
     return rows.select("doc_id", "text_hash", "pii_count", F.to_json("pii_types").alias("pii_types"), F.array_join("placeholders_used", ",").alias("placeholders_used"))
 
 
@@ -193,7 +199,7 @@ def audit_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(audit(table(spark, sf_dir, "documents"), config=PLAIN, at="2024-01-01"))
+    return totals(audit(texts(spark, sf_dir), config=PLAIN, at="2024-01-01"))
 
 
 def quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,11 +219,11 @@ def rate_limit_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _values(spark, list(enumerate(sql.NAME_TEXTS)), "id long, text string")
-    return rows.select("id", F.explode(rule_spans(F.col("text"), [RULES["name_heuristic"], RULES["name_contextual"]])).alias("s")).select("id", F.col("s.rule").alias("rule"), F.col("s.text").alias("name"), F.col("s.start").cast("long").alias("start"))
+    return each(rows, rule_spans(F.col("text"), [RULES["name_heuristic"], RULES["name_contextual"]]), "id").select("id", F.col("s.rule").alias("rule"), F.col("s.text").alias("name"), F.col("s.start").cast("long").alias("start"))
 
 
 def name_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "documents"), config=Config(level="minimal", name_scorer=True, second_pass=False, domain_parsers=False)).where("layer = 'name_scorer'").groupBy("match").agg(F.count(F.lit(1)).alias("n"))
+    return detect(texts(spark, sf_dir), config=Config(level="minimal", name_scorer=True, second_pass=False, domain_parsers=False)).where("layer = 'name_scorer'").groupBy("match").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quality_vs_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,18 +250,18 @@ def span_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     runs = {name: detect(docs, config=Config(level=name, domain_parsers=False, second_pass=False)) for name in ("minimal", "standard", "aggressive")}
     return evaluate.compare(runs)
 
 
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scrub(table(spark, sf_dir, "documents").select("doc_id", "text"), config=PLAIN)
+    rows = scrub(texts(spark, sf_dir).select("doc_id", "text"), config=PLAIN)
     return rows.select("doc_id", evaluate.gone(F.col("sanitized"), F.map_values("placeholders")).alias("gone"), F.size("placeholders").alias("values"))
 
 
 def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(detect(table(spark, sf_dir, "documents"), config=PLAIN, keep=("doc_id", "lang")), "lang")
+    return summary(detect(texts(spark, sf_dir), config=PLAIN, keep=("doc_id", "lang")), "lang")
 
 
 def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

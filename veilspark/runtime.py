@@ -21,6 +21,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: A table of fewer stored bytes for each core than this is dealt out over all cores before costly work on its rows.
+SPREAD = 16 << 20
+
+
+def spread(df: DataFrame, least: int = SPREAD) -> DataFrame:
+    """The rows of a small table over all cores, whatever the row groups of its files are; a large one is read as it is stored.
+
+    A file is read by as many tasks as it has row groups, so a scan of a small file keeps one core busy. What is moved is
+    bounded by ``least`` bytes a core, by the planner's estimate; a larger table has enough row groups and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(4 * cores) if size < least * cores else df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows, computed once and read from the folder that all executors share (``spark.checkpoint.dir``).
 
